@@ -59,3 +59,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 #: DuckDB twins, where SQL can express the result.
 ORACLE: dict[str, str] = {}
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "volumes")
+    lists = [v.select(F.explode(f"authors.{k}").alias("name")) for k in ("problems", "pictures", "editors")]
+    lists += [v.select(F.col("authors.head").alias("name"))]
+    lists += [table(spark, sf_dir, "languages").select(F.explode("translators").alias("name")), table(spark, sf_dir, "venues").select(F.explode("orgs").alias("name"))]
+    d = lists[0]
+    for x in lists[1:]:
+        d = d.unionByName(x)
+    return d
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import names as N
+
+    return N.pairs_of(cut(N.entities(_names(spark, sf_dir))))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import names as N
+
+    d = cut(N.entities(_names(spark, sf_dir)))
+    return d.join(d.groupBy("entity").agg(F.min("name").alias("class_id"), (F.count("*") - 1).alias("n_links")), "entity").select("name", "class_id", "n_links")
+
+
+QUERIES |= {f.__name__: f for f in (p5_found, p5_entities)}
