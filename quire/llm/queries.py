@@ -86,3 +86,25 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p5_found, p5_entities)}
+
+
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of problem_files with content (a file delivered twice is still there twice)."""
+    return table(spark, sf_dir, "problem_files").where("content is not null")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import garbled as G
+
+    files = all_files(spark, sf_dir)
+    return G.find(files, G.learn(files)).select(F.col("file_id").cast("bigint").alias("file_id"), "line_no").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import garbled as G
+
+    files = all_files(spark, sf_dir)
+    return G.find(files, G.learn(files), restore=True).dropDuplicates(["file_id", "line_no"])
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p4_restored)}
