@@ -108,3 +108,18 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p4_found, p4_restored)}
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import language as L
+
+    files = problem_texts(spark, sf_dir)
+    return L.detect(files, L.train(files)).dropDuplicates(["file_id", "line_no"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p3_languages(spark, sf_dir).where("lang is not null and (line_no > 0 or not labelled)")
+    return found.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("bigint").alias("line_no"), "lang")
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_languages)}
