@@ -123,3 +123,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p3_found, p3_languages)}
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import align as A
+
+    return A.links(all_files(spark, sf_dir))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = p1_links(spark, sf_dir)
+    first = F.col("translation") < F.col("origin")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return d.select(pick("translation", "origin").alias("file_a"), pick("line_t", "line_o").alias("line_a"), pick("origin", "translation").alias("file_b"), pick("line_o", "line_t").alias("line_b"))
+
+
+QUERIES |= {f.__name__: f for f in (p1_found, p1_links)}
