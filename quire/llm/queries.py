@@ -139,3 +139,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p1_found, p1_links)}
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import reading as R
+
+    return R.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "reading_level")
+
+
+QUERIES |= {f.__name__: f for f in (p8_found, p8_levels)}
