@@ -36,7 +36,7 @@ LEAST_MOVED = 0.4
 SURE_SHARE, LEAST_COSINE, SURE_COSINE = 0.5, 0.03, 0.2
 #: Rounds in which word vectors are learned anew from linked lines, the Sinkhorn steps in them, and how far the
 #: vectors' principal directions are brought to equal strength.
-ROUNDS, LEARN_SWEEPS, BALANCE = 2, 15, 0.25
+ROUNDS, LEARN_SWEEPS, BALANCE = 2, 10, 0.25
 #: Weight of a number in a line's vector.
 NUMBER_WEIGHT = 6.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,8 +163,9 @@ class Sums:
         order = np.argsort(slot, kind="stable")
         s = slot[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        self.table[s[first]] += np.add.reduceat(context[which[order]], first)
-        self.count[s[first]] += np.diff(np.append(first, len(s)))
+        n = np.diff(np.append(first, len(s)))
+        self.table[s[first]] += gather_sum(context, which[order], first, n)
+        self.count[s[first]] += n
 
     def add_texts(self, words: Words, group: np.ndarray) -> None:
         """Each text's group vector for the words it has; a word counts once a text."""
@@ -186,11 +187,12 @@ class Sums:
         self.texts += len(line)
 
     def rows(self) -> pa.RecordBatch:
-        """One row a slot seen, and one (slot -1) with the totals."""
+        """One row a slot seen, and one (slot -1) for all contexts: how many, and their mean."""
         seen = np.flatnonzero(self.count)
-        vectors = np.concatenate([self.total[None], self.table[seen]]).astype(np.float32)
+        n = np.concatenate([[max(self.texts, 1)], self.count[seen]])
+        vectors = (np.concatenate([self.total[None], self.table[seen]]) / n[:, None]).astype(np.float16)  # means, in half precision
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[-1], seen]), pa.int32()), pa.array(np.concatenate([[self.texts], self.count[seen]]), pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["slot", "n", "sum"]
+            [pa.array(np.concatenate([[-1], seen]), pa.int32()), pa.array(np.concatenate([[self.texts], self.count[seen]]), pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["slot", "n", "mean"]
         )
 
 
@@ -206,23 +208,40 @@ class Vectors:
             v = v @ (axes * np.maximum(value, max(value.max() * 1e-4, 1e-12)) ** -balance).astype(np.float32)
         unit = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)).astype(np.float32)
         numbers = signs_of(np.arange(1 << BITS, 2 << BITS)) / np.float32(np.sqrt(DIM))
-        self.unit = np.concatenate([unit, numbers])
         weight = np.log((texts + 1) / (np.minimum(count, texts) + 1)).clip(0.1)
         self.weight = np.concatenate([weight, np.full(1 << BITS, NUMBER_WEIGHT)]).astype(np.float32)
+        self.heavy = np.concatenate([unit, numbers]).astype(np.float32) * self.weight[:, None]
 
-    def of_lines(self, words: Words, numbers: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """A unit vector for each line, and the weight of its words."""
-        w = self.weight[words.slots]
-        if not numbers:
-            w = np.where(words.slots < 1 << BITS, w, 0).astype(np.float32)
-        v = self.unit[words.slots] * w[:, None]
+    def of_lines(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A unit vector for each line, the weight of its words, and a unit vector without its numbers."""
         has = np.flatnonzero(words.many)
-        out = np.zeros((len(words.many), DIM), np.float32)
+        out = gather_sum(self.heavy, words.slots, words.starts[:-1], words.many)
         mass = np.zeros(len(words.many), np.float32)
         if len(has):
-            out[has] = np.add.reduceat(v, words.starts[has])
-            mass[has] = np.add.reduceat(w, words.starts[has])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6), mass
+            mass[has] = np.add.reduceat(self.weight[words.slots], words.starts[has])
+        plain = out.copy()
+        number = np.flatnonzero(words.slots >= 1 << BITS)
+        if len(number):  # few, and in order of their lines
+            line = words.line[number]
+            first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            plain[line[first]] -= np.add.reduceat(self.heavy[words.slots[number]], first)
+        return _unit(out), mass, _unit(plain)
+
+
+def gather_sum(source: np.ndarray, index: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Row sums of source over index[starts[i] : starts[i] + counts[i]]; segments of equal length go together."""
+    out = np.zeros((len(starts), source.shape[1]), np.float32)
+    order = np.argsort(counts, kind="stable")
+    many, first = np.unique(counts[order], return_index=True)
+    for n, a, b in zip(many.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        if n:
+            rows = order[a:b]
+            out[rows] = np.take(source, index[starts[rows][:, None] + np.arange(n)], axis=0, mode="clip").sum(1)
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-6)
 
 
 def transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
@@ -246,8 +265,8 @@ def transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray, sweeps: int = SWEE
 
 def align(a: Words, b: Words, pairs: int, vectors: Vectors, sweeps: int = SWEEPS) -> tuple[np.ndarray, ...]:
     """Links between the lines of the i-th texts of a and b: line of a and line of b (places in a and b), share
-    of the smaller line's mass that is moved, cosine."""
-    (va, ma), (vb, mb) = vectors.of_lines(a), vectors.of_lines(b)
+    of the smaller line's mass that is moved, cosine; and all lines' vectors without numbers."""
+    (va, ma, wa), (vb, mb, wb) = vectors.of_lines(a), vectors.of_lines(b)
     ia, ib = np.flatnonzero(ma > 0), np.flatnonzero(mb > 0)
     na, nb = np.bincount(a.text[ia], minlength=pairs), np.bincount(b.text[ib], minlength=pairs)
     sa, sb = np.concatenate([[0], np.cumsum(na)]), np.concatenate([[0], np.cumsum(nb)])
@@ -276,8 +295,8 @@ def align(a: Words, b: Words, pairs: int, vectors: Vectors, sweeps: int = SWEEPS
             out.append((ra[p, i], rb[p, j], share[p, i, j], cos[p, i, j]))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.float32), none.astype(np.float32)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return none, none, none.astype(np.float32), none.astype(np.float32), wa, wb
+    return *(np.concatenate(x) for x in zip(*out)), wa, wb
 
 
 _PACKED = "{0}line array<int>, {0}many array<int>, {0}slots array<smallint>"
@@ -304,7 +323,7 @@ def _summed(rows: DataFrame, balance: float) -> Vectors:
         count: dict[int, int] = {}
         for b in batches:
             for slot, n, v in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = np.frombuffer(v, np.float32)
+                x = np.frombuffer(v, np.float16).astype(np.float32) * n
                 table[slot] = table[slot] + x if slot in table else x
                 count[slot] = count.get(slot, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()), pa.array(list(count.values()), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in table.values()], pa.binary())], names=["slot", "n", "sum"])
@@ -346,7 +365,7 @@ def links(df: DataFrame, key: str = "file_id", origin: str = "origin_id", text:
             sums.add_texts(Words.read(*(b.column(i) for i in range(2, 5))), group)
         yield sums.rows()
 
-    vectors = _summed(texts.mapInArrow(by_document, "slot int, n bigint, sum binary"), 0.0)
+    vectors = _summed(texts.mapInArrow(by_document, "slot int, n bigint, mean binary"), 0.0)
     right = texts.select(F.col("key").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("line", "many", "slots")]).dropDuplicates(["o"])
     pairs = cut(texts.where("origin is not null and origin <> key").join(right, F.col("origin") == F.col("o")).select("key", "origin", "line", "many", "slots", "o_line", "o_many", "o_slots"))
     for _ in range(rounds):
@@ -356,20 +375,19 @@ def links(df: DataFrame, key: str = "file_id", origin: str = "origin_id", text:
             sums, v = Sums(), held.value
             for b in _chunks(batches):
                 x, y = (Words.read(*(b.column(i) for i in range(k, k + 3))) for k in (2, 5))
-                i, j, _, _ = align(x, y, b.num_rows, v, LEARN_SWEEPS)
-                c = v.of_lines(x, False)[0][i] + v.of_lines(y, False)[0][j]
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-6)
+                i, j, _, _, wa, wb = align(x, y, b.num_rows, v, LEARN_SWEEPS)
+                c = _unit(wa[i] + wb[j])
                 sums.add_lines(x, i, c)
                 sums.add_lines(y, j, c)
             yield sums.rows()
 
-        vectors = _summed(pairs.mapInArrow(by_link, "slot int, n bigint, sum binary"), BALANCE)
+        vectors = _summed(pairs.mapInArrow(by_link, "slot int, n bigint, mean binary"), BALANCE)
     held = sc.broadcast(vectors)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             x, y = (Words.read(*(b.column(i) for i in range(k, k + 3))) for k in (2, 5))
-            i, j, share, cos = align(x, y, b.num_rows, held.value)
+            i, j, share, cos, _, _ = align(x, y, b.num_rows, held.value)
             take = lambda col, rows: b.column(col).take(pa.array(rows, pa.int64()))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [take(0, x.text[i]), pa.array(x.number[i], pa.int64()), take(1, x.text[i]), pa.array(y.number[j], pa.int64()), pa.array(share, pa.float32()), pa.array(cos, pa.float32())],
