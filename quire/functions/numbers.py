@@ -51,21 +51,33 @@ def cut_extra_one(s: Column) -> Column:
 
 
 def fixed(x: Column, digits: int = 6) -> Column:
-    """Fixed notation, without the extra one. Exact ties are rounded away from zero."""
+    """Fixed notation, without the extra one. Ties of the shortest decimal form are rounded away from zero."""
     return cut_extra_one(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value) with value evaluated once, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _without_zeros(s: Column) -> Column:
+    return F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+
+
 def general(x: Column, digits: int = 6) -> Column:
     """General notation as C's %g: scientific for exponents under -4 or from digits on, no trailing zeros."""
     p = max(1, digits)
     x = x.cast("double")
-    sci = F.format_string(f"%.{p - 1}e", x)
-    exponent = F.substring_index(sci, "e", -1).cast("int")
-    strip = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    mantissa = strip(F.substring_index(sci, "e", 1))
-    plain = F.format_string(F.concat(F.lit("%."), F.greatest(F.lit(0), F.lit(p - 1) - exponent).cast("string"), F.lit("f")), x)
-    out = F.when((exponent < -4) | (exponent >= p), F.concat(mantissa, F.lit("e"), F.substring_index(sci, "e", -1))).otherwise(strip(plain))
-    return F.when(x.isNull(), None).when(x == 0, "0").otherwise(cut_extra_one(out))
+
+    def shown(sci: Column) -> Column:
+        tail = F.substring(sci, p + 2 if p > 1 else 2, 9)  # e and the exponent
+        tail = F.when(F.startswith(sci, F.lit("-")), F.substring(sci, p + 3 if p > 1 else 3, 9)).otherwise(tail)
+        exponent = F.substring(tail, 2, 9).cast("int")
+        plain = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(F.lit(0), F.lit(p - 1) - exponent).cast("string"), F.lit("f")), x)
+        scientific = F.concat(_without_zeros(F.substring_index(sci, "e", 1)), tail)
+        return F.when((exponent < -4) | (exponent >= p), scientific).otherwise(bound(plain, _without_zeros))
+
+    return F.when(x.isNull(), None).when(x == 0, "0").otherwise(cut_extra_one(bound(F.format_string(f"%.{p - 1}e", x), shown)))
 
 
 def num(s: Column) -> Column:

@@ -91,7 +91,7 @@ def _first(line: Column, pattern: str) -> Column:
 
 def _match_rule(line: Column, r: Rule) -> Column:
     # in characters; regexp_instr counts UTF-16 units, but is needed where a pattern looks around itself
-    start = F.position(F.regexp_extract(line, F.lit("(?d)" + r.pattern), 0), line) - 1 if r.portable is None else _first(line, r.pattern)
+    start = F.position(F.regexp_extract(line, "(?d)" + r.pattern, 0), line) - 1 if r.portable is None else _first(line, r.pattern)
     if r.id in ("eqs", "sie", "pws"):  # the column is counted from the match's end, or after the command
         text = F.regexp_extract(line, "(?d)" + r.pattern, 1 if r.id == "sie" else 0)
         at = start + F.length(text) + {"eqs": -1, "sie": 1, "pws": -2}[r.id]

@@ -42,7 +42,7 @@ def split_by(df: DataFrame, parent: list[str], order: list[str], bin_of: Callabl
 def all_bins(binned: DataFrame, parent: list[str], count: int, name: str = "bin") -> DataFrame:
     """How many items each bin of each parent has, empty bins included."""
     parents = binned.select(*parent).distinct()
-    every = parents.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("bigint"))
+    every = parents.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
     n = binned.groupBy(*parent, name).agg(F.count("*").alias("items"))
     return every.join(n, [*parent, name], "left").withColumn("items", F.coalesce("items", F.lit(0)))
 

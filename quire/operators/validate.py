@@ -64,7 +64,7 @@ def presence_matrix(df: DataFrame, row: list[str], column: str, values: list[str
 
 def incomplete(matrix: DataFrame, values: list[str], optional_all: bool) -> DataFrame:
     """Rows that have some of the values but not all (or, unless optional_all, none)."""
-    n = sum(F.col(v) for v in values)
+    n = sum(F.col(f"`{v}`") for v in values)
     ok = (n == len(values)) | (F.lit(optional_all) & (n == 0))
     return matrix.withColumn("present", n.cast("bigint")).where(~ok)
 
