@@ -45,9 +45,14 @@ def upnth(n: Column) -> Column:
     return F.when(n >= 0, F.concat(F.lit("$"), n.cast("string"), F.lit("^{\\mathrm{"), ordinal_suffix(n), F.lit("}}$")))
 
 
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value) with value evaluated once, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cut_extra_one(s: Column) -> Column:
     """Drops a mantissa of exactly 1 before an exponent: 1e+09 to e+09; negative numbers stay."""
-    return F.when(F.rlike(s, F.lit(r"^1\.?e[+-]?[0-9]+")), F.substring(s, 2, 1_000_000)).otherwise(s)
+    return bound(s, lambda t: F.when(F.startswith(t, F.lit("1")) & F.rlike(t, F.lit(r"^1\.?e[+-]?[0-9]+")), F.substring(t, 2, 1_000_000)).otherwise(t))
 
 
 def fixed(x: Column, digits: int = 6) -> Column:
@@ -55,11 +60,6 @@ def fixed(x: Column, digits: int = 6) -> Column:
     return cut_extra_one(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
-def bound(value: Column, use) -> Column:  # noqa: ANN001
-    """use(value) with value evaluated once, however often use mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _without_zeros(s: Column) -> Column:
     return F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
 

@@ -9,7 +9,7 @@ from quire.operators import lint as L
 from quire.operators import rewrite as R
 from quire.operators.lines import join_lines, split_lines
 from quire.plans.catalogue import query
-from quire.runtime import table
+from quire.runtime import spread, table
 
 #: Each derived line gets one of these, so that every rule has something to find.
 BAITS = (
@@ -36,7 +36,7 @@ def lines_sql(source: str, key: str, text: str, *keep: str, where: str = "true")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "lang")
+    return split_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "text", "doc_id", "lang")
 
 
 DOC_LINES = lines_sql("documents", "doc_id", "text", "lang")
