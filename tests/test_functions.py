@@ -79,3 +79,14 @@ def test_quantities(spark):
     cm = F.round(Q.to(Q.quantity(F.lit(320.0), "centimetre"), "metre")["magnitude"], 6)
     assert one(spark, Q.tex_list(F.array(N.general(m["magnitude"]), N.general(cm)), F.lit("metre"))) == "\\qtylist{2;3.2}{\\metre}"
     assert one(spark, Q.tex(Q.quantity(F.lit(5.0)), F.lit("5"))) == "\\num{5}"
+
+
+def test_gamma(spark):
+    import math
+
+    from quire.functions.special import gamma
+
+    xs = [0.3, 0.5, 1.0, 4.5, 10.0, -0.5, -2.5]
+    for x, g in values(spark, [(x,) for x in xs], "x double", "x", gamma(F.col("x"))):
+        assert g == pytest.approx(math.gamma(x), rel=1e-9)
+    assert one(spark, gamma(F.lit(-2.0))) is None

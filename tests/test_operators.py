@@ -148,3 +148,26 @@ def test_incremental_lint(spark, tmp_path):
     for _ in range(2):  # the second run has nothing new
         lint_stream.run_available(spark, src, d.schema, sink, ck, "t", "k")
     assert [(r["k"], r["rule_id"]) for r in spark.read.parquet(sink).collect()] == [(1, "cws")]
+
+
+def test_documents_by_schema(spark):
+    from quire.sources import schemas
+
+    d = spark.createDataFrame([(1, '{"id": "a", "number": 3, "new": 1}'), (2, "{"), (3, None)], "k int, j string")
+    got = {r["k"]: r["document"] for r in schemas.parse(d, "j", "year").collect()}
+    assert got[1]["id"] == "a" and got[1]["number"] == 3 and got[3] is None and (got[2] is None or got[2]["id"] is None)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        schemas.parse(d.where("k = 2"), "j", "year", strict=True).collect()
+    for kind in schemas.SCHEMAS:
+        schemas.parse(d, "j", kind).schema
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a,b", "x", "y", 5)], "line_no int, line string, rule_id string, message string, col int")
+    assert [r["rule_id"] for r in L.lint(d).collect()] == ["cws"]
+    e = d.limit(0)
+    assert L.lint(e).count() == 0 and L.verdicts(e, "rule_id").count() == 0
+    m = V.presence_matrix(e, ["line"], "rule_id", ["p", "q.r"])
+    assert m.columns == ["line", "p", "q.r"] and V.incomplete(m, ["p", "q.r"], False).count() == 0
+    assert T.existence(d, e.select("line"), ["line"]).first()["present"] is False
+    assert D.assemble(e, ["rule_id"], "line_no", "line").count() == 0
