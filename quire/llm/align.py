@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.garbled import SAME_SHAPE
-from quire.llm.lines import Lines, lines_of
+from quire.llm.lines import Lines, chunks, lines_of
 from quire.runtime import cut, ship, spread
 
 #: Words are told apart by a hash of this many bits: the table of their vectors has a fixed size, 2**BITS x DIM.
@@ -307,8 +307,7 @@ def packed(df: DataFrame, key: str, origin: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                part = b.slice(at, STEP)
+            for part in chunks(b, 2, STEP):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *pack(part.column(2).to_pylist())], names=["key", "origin", "line", "many", "slots"])
 
     d = spread(df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(origin).cast("bigint").alias("origin"), text))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _END = "\x1e"
 
@@ -58,3 +61,19 @@ def lines_of(texts: list[str | None], compose: bool = True) -> Lines:
 
 _SPACE = np.zeros(0x10000, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+
+
+def chunks(b: pa.RecordBatch, column: int, rows: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many rows and, but for single rows, bytes of text in a column.
+
+    This bounds a worker's memory by the longest text instead of by the number of long texts.
+    """
+    each = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    start = total = 0
+    for i, n in enumerate(each):
+        if i > start and (i - start >= rows or total + n > size):
+            yield b.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(each):
+        yield b.slice(start)

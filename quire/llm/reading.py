@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.align import _scramble, words_of
-from quire.llm.lines import lines_of
+from quire.llm.lines import chunks, lines_of
 from quire.runtime import cut, ship, spread
 
 #: Words and word pairs are told apart by a hash of this many bits: the word side has a fixed size.
@@ -98,8 +98,7 @@ def levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                part = b.slice(at, STEP)
+            for part in chunks(b, 1, STEP):
                 yield pa.RecordBatch.from_arrays([part.column(0), *pack(part.column(1).to_pylist())], names=["key", "slots", "many"])
 
     kind = docs.schema[key].dataType.simpleString()
