@@ -1,16 +1,18 @@
-"""Session helpers: tables, shipping the package to executors, parallelism and lineage cuts."""
+"""Session helpers: tables, shipping the package to executors, parallelism, lineage cuts, checked broadcasts."""
 
 from __future__ import annotations
 
 import io
-import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +49,55 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where written intermediate tables go: the shared folder that the session names in spark.checkpoint.dir.
+
+    Only an application on a single machine may leave it unset; it then gets a temporary folder. Elsewhere
+    such a folder would be lost with its machine, so its absence raises.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    named = held.get() if held.isDefined() else sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quire-tables-"))
+    return f"{named.rstrip('/')}/quire-{sc.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it with its lineage cut.
+    """Write df as a compressed table to the shared folder and return that table, with no lineage before it.
+
+    The files outlive any executor. release() deletes them once nothing reads them any more, clear() at the
+    latest.
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    # the schema is given, so no file is opened for it and an empty table keeps it
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._quire_path = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by cut(); nothing that is computed later may depend on them."""
+    for d in tables:
+        _delete(d.sparkSession, d._quire_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application; results not yet computed may depend on them."""
+    _delete(spark, _folder(spark))
+
+
+def small(df: DataFrame, limit: int = 64 << 20, row_bytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if its counted rows, at row_bytes each, stay within limit; else as it is.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs) a
-    local one is set.
+    df is counted, so it should be a table made by cut() or as cheap to read.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quire-checkpoints"))
-    return df.checkpoint(eager=True)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
