@@ -59,6 +59,30 @@ def lines_of(texts: list[str | None], compose: bool = True) -> Lines:
     return Lines(codes, start, stop, text, number, ~odd & ~blank)
 
 
+#: Tables of characters end here, after the last plane that has letters; what lies beyond (tags, selectors and
+#: private planes) counts as the last entry.
+TOP = 0x32400
+
+
+def clipped(codes: np.ndarray) -> np.ndarray:
+    """Code points as places in tables of TOP entries."""
+    return np.minimum(codes, TOP - 1)
+
+
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a binary column without nulls holds as bytes, in one array, and how many each row has."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    held = column.buffers()[2]
+    whole = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None and len(column) else np.zeros(0, np.uint8)
+    return whole.view(kind), np.diff(at) // np.dtype(kind).itemsize
+
+
+def binary(numbers: np.ndarray, many: np.ndarray) -> pa.Array:
+    """The opposite of flat: a binary column whose rows hold so many numbers each."""
+    ends = np.concatenate([[0], np.cumsum(many)]) * numbers.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(numbers).tobytes())])
+
+
 _SPACE = np.zeros(0x10000, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 

@@ -132,7 +132,7 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = p1_links(spark, sf_dir)
+    d = p1_links(spark, sf_dir).where("line_t is not null and line_o is not null")
     first = F.col("translation") < F.col("origin")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     return d.select(pick("translation", "origin").alias("file_a"), pick("line_t", "line_o").alias("line_a"), pick("origin", "translation").alias("file_b"), pick("line_o", "line_t").alias("line_b"))
