@@ -1,3 +1,5 @@
+import numpy as np
+
 from quire.llm import names as N
 
 
@@ -47,3 +49,24 @@ def test_entities(spark):
     pairs = {tuple(r) for r in N.pairs_of(got).collect()}
     assert pairs == {(a, b) for g in groups for a in g for b in g if a < b}
     assert N.entities(d.limit(0)).count() == 0
+
+def test_nicknames_in_large_families(spark):
+    """Contexts that go with hundreds of words count as others do; the number of other names changes nothing."""
+    for others in (30, 200):
+        rows = [(f, f"katarina{''} {fam}") for f, fam in enumerate(("zupolimak", "hrabotank", "vodnemirek", "plachudel", "storevinka", "mrkolasov"))]
+        fams = [r[1].split()[1] for r in rows]
+        names = [f"Katarina {x.title()}" for x in fams] + [f"Katka {x.title()}" for x in fams] + [f"Katarina {x}{i}ova" for i, x in enumerate(("Drobna", "Kolesar", "Visnak", "Tomanek"))]
+        rng = np.random.default_rng(others)
+        letters = list("abcdefghijlmnoprstuvz")
+        for x in fams:
+            names += ["".join(rng.choice(letters, 8)).title() + f" {x.title()}" for _ in range(others)]
+        got = {tuple(r) for r in N.pairs_of(N.entities(spark.createDataFrame([(n,) for n in names], "name string"))).collect()}
+        assert {(f"Katarina {x.title()}", f"Katka {x.title()}") for x in fams} <= got, others
+
+
+def test_chains_of_slips_and_initials_alone(spark):
+    words = [("zvonakorevic", 100), ("zvonakorevit", 50), ("zvonakorevi", 20), ("zvonakrevi", 10), ("zvnakrevi", 5)]
+    d = spark.createDataFrame(words, "word string, often bigint")
+    assert {r["root"] for r in N.word_roots(d).collect()} == {"zvonakorevic"}
+    d = spark.createDataFrame([("Barbora Quetzalik",), ("B. Q.",), ("Adam Novoplan",)], "name string")
+    assert {tuple(r) for r in N.pairs_of(N.entities(d)).collect()} <= {("B. Q.", "Barbora Quetzalik")}
