@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.align import _scramble, words_of
-from quire.llm.lines import chunks, lines_of
-from quire.runtime import cut, ship, spread
+from quire.llm.lines import binary, chunks, flat, lines_of
+from quire.runtime import cut, release, ship, small, spread
 
-#: Words and word pairs are told apart by a hash of this many bits: the word side has a fixed size.
-BITS = 18
+#: Words and word pairs are told apart by a hash of this many bits: the word side has at most 2**BITS slots, of
+#: which only those seen travel. Words that share a slot share a difficulty, and weigh little if they are many.
+BITS = 21
 #: Harmonic iterations; how many ungraded documents a graded one outweighs; spread at which a word counts half.
 ROUNDS, CLAMP, SPREAD = 8, 200.0, 0.3
 LEVELS = (1, 2, 3, 4)
@@ -32,7 +33,7 @@ STEP = 400
 
 
 def pack(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
-    """For each text two lists: the slots of its words and word pairs, and how often each occurs."""
+    """For each text two lists of numbers: the slots of its words and word pairs, and how often each occurs."""
     lines = lines_of(texts)
     lines.prose[:] = True
     h, line, number = words_of(lines)
@@ -43,15 +44,22 @@ def pack(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
     slot = (np.concatenate([h, pair]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
     key, n = np.unique(text * (1 << BITS) + slot, return_counts=True)
     per = np.bincount(key >> BITS, minlength=len(texts))
-    ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(key & ((1 << BITS) - 1), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(np.minimum(n, 32767), pa.int16()))
+    return binary((key & ((1 << BITS) - 1)).astype(np.int32), per), binary(np.minimum(n, 32767).astype(np.int16), per)
 
 
 class Graph:
     """The word side: for each slot the weight, difficulty and squared difficulty of its documents, and its documents."""
 
     def __init__(self, sums: np.ndarray, docs: int, mean: float):
-        self.sums, self.docs, self.mean = sums.astype(np.float32), docs, mean
+        self.sums, self.docs, self.mean = sums, docs, mean
+
+    def __getstate__(self) -> dict:
+        seen = np.flatnonzero(self.sums[3])
+        return {"docs": self.docs, "mean": self.mean, "seen": seen.astype(np.int32), "held": self.sums[:, seen]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.docs, self.mean, self.sums = state["docs"], state["mean"], np.zeros((4, 1 << BITS), np.float32)
+        self.sums[:, state["seen"]] = state["held"]
 
     def difficulty(self, text: np.ndarray, slot: np.ndarray, many: np.ndarray, grade: np.ndarray) -> np.ndarray:
         """Difficulty of each document from its words; a graded one's own grade is left out of its words' means."""
@@ -70,17 +78,20 @@ class Graph:
 
 
 def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    slots, many = b.column(2), b.column(3)
-    text = np.repeat(np.arange(b.num_rows), np.diff(slots.offsets.to_numpy()))
-    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+    slots, per = flat(b.column(2), np.int32)
     grade = b.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return text, flat(slots).astype(np.int64), flat(many).astype(np.float64), grade
+    return np.repeat(np.arange(b.num_rows), per), slots.astype(np.int64), flat(b.column(3), np.int16)[0].astype(np.float64), grade
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from chunks(b, 2, 1 << 30, 16_000_000)
 
 
 def _spread_scores(rows: DataFrame) -> np.ndarray:
-    """Sums over all partitions; what comes to the driver is one row a slot, 2**BITS at most."""
+    """Sums over all partitions; what comes to the driver is one row a slot seen, 2**BITS at most."""
     got = rows.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("den", "num", "sq", "df")]).toArrow()
-    sums = np.zeros((4, 1 << BITS))
+    sums = np.zeros((4, 1 << BITS), np.float32)
     at = got.column("slot").to_numpy()
     for k, c in enumerate(("den", "num", "sq", "df")):
         sums[k][at] = got.column(c).to_numpy()
@@ -104,7 +115,9 @@ def levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     some = spread(docs.where(F.col(text).rlike(r"\p{L}") & F.col(key).isNotNull()).select(F.col(key).alias("key"), text))
     graded = labels.where("reading_level is not null").groupBy(F.col(key).alias("key")).agg(F.avg("reading_level").alias("grade"))
-    d = cut(some.mapInArrow(packed, f"key {kind}, slots array<int>, many array<smallint>").join(graded, "key", "left").select("key", "grade", "slots", "many"))
+    graded = cut(graded)
+    d = cut(some.mapInArrow(packed, f"key {kind}, slots binary, many binary").join(small(graded), "key", "left").select("key", "grade", "slots", "many"))
+    release(graded)
     start = d.agg(F.avg("grade").alias("m"), F.count("*").alias("n")).first()
     mean, count = (2.5 if start["m"] is None else float(start["m"])), int(start["n"])
     graph: Graph | None = None
@@ -113,7 +126,7 @@ def levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
         def step(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             sums, g = np.zeros((4, 1 << BITS)), held.value
-            for b in batches:
+            for b in _parts(batches):
                 text_, slot, many, grade = _read(b)
                 score = np.full(len(grade), mean) if g is None else g.difficulty(text_, slot, many, grade)
                 own = ~np.isnan(grade)
@@ -125,14 +138,17 @@ def levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *(pa.array(sums[k][seen].astype(np.float32), pa.float32()) for k in range(4))], names=["slot", "den", "num", "sq", "df"])
 
         graph = Graph(_spread_scores(d.mapInArrow(step, "slot int, den float, num float, sq float, df float")), count, mean)
+        held.destroy()
     held = sc.broadcast(graph)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             score = held.value.difficulty(*_read(b))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["key", "grade", "difficulty"])
 
     scored = cut(d.mapInArrow(final, f"key {kind}, grade double, difficulty double"))
+    held.destroy()
+    release(d)
     cuts = thresholds(scored.where("grade is not null"))
     level = lambda x: sum((x > c).cast("int") for c in cuts) + F.lit(LEVELS[0])
     own = F.coalesce(F.signum(F.col("grade") - level(F.col("difficulty"))), F.lit(0.0)) * PULL
