@@ -6,6 +6,7 @@ compiled once and no join multiplies the lines.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,16 +15,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """id; pattern in Java's syntax; message; what is added to the match's start (0-based) for the column.
-
-    portable: an RE2 pattern that finds the same lines, where the Java one has look-around ("" if none has).
-    """
+    """id; pattern in Java's syntax; message ({} is the text of the group `shown`); what is added to the match's
+    start (0-based) for the column, or to the end of its text or group where `behind` says so."""
 
     id: str
     pattern: str
     message: str
     offset: int = 0
-    portable: str | None = None
+    shown: int = 0
+    behind: bool = False
     severity: str = "error"
     kinds: tuple[str, ...] = ("problem", "solution", "answer")
 
@@ -32,18 +32,18 @@ class Rule:
 RULES = (
     Rule("tab", r"\t", "Tab instead of spaces"),
     Rule("cws", r",[^\s^]", "Comma not followed by whitespace"),
-    Rule("sws", r"(?<!\\ang\{;{0,1}|\\qtylist\{[0-9.e;]{1,200}|\\Coord\{[0-9.e;]{1,200});[^\s]", "Semicolon not followed by whitespace", 0, ""),
+    Rule("sws", r"(?<!\\ang\{;{0,1}|\\qtylist\{[0-9.e;]{1,200}|\\Coord\{[0-9.e;]{1,200});[^\s]", "Semicolon not followed by whitespace"),
     Rule("pas", r"(\\left)?\( ", "Space after left parenthesis"),
     Rule("pas", r"[^ ] +(\\right)?\)", "Space before right parenthesis", 1),
-    Rule("tws", r"(?! )[ \t]$", "Trailing whitespace", 0, "\\t\\n?$"),
-    Rule("spb", r"[^ ]\\\\$", "No space before ending \\\\", 1, r"[^ ]\\\\" + "\\n?$"),
+    Rule("tws", r"(?! )[ \t]$", "Trailing whitespace"),
+    Rule("spb", r"[^ ]\\\\$", "No space before ending \\\\", 1),
     Rule("frb", r"\\frac[^{]", "\\frac not followed by a brace", 5),
     Rule("csi", r"qty\{[^},]*,", "Comma in \\qty expression"),
     Rule("osi", r"\\SI", "Use \\qty instead of SI"),
     Rule("cnu", r"\\num\{[^},]*,", "Comma in \\num expression"),
     Rule("vep", r"\\varepsilon", "\\varepsilon is not allowed, use plain \\epsilon"),
     Rule("crc", r"\^\{?\\circ\}?", "\\circ is not allowed, use \\ang{...} instead", 2),
-    Rule("lbw", r"(?<!\\text)\{\s+[^\s]", "Left brace { followed by whitespace", 0, ""),
+    Rule("lbw", r"(?<!\\text)\{\s+[^\s]", "Left brace { followed by whitespace"),
     Rule("rbw", r"[^\s]\s+\}", "Right brace } preceded by whitespace", 2),
     Rule("mzm", r"[Mm]ôžme", "It's spelled \"môžeme\"...", 2),
     Rule("tht", r"[Tt]ohoto", "It's spelled \"tohto\"...", 3),
@@ -62,12 +62,12 @@ RULES = (
     Rule("uni", r"[“”’–—~]", "Do not use fancy Unicode dashes or quotation marks in the source"),
     Rule("opa", r"\\((arc)?(cos|sin|tan|cot|log|ln))\{\((\\)?.+\)\}", "Omit parentheses in simple functions"),
     Rule("cmk", r"<<<<<<<|=======|>>>>>>>", "Git conflict markers found!"),
-    Rule("eqs", r"(=|\\approx|\\doteq|\\geq|\\leq|\\gg|\\ll)(?! |\}|& |[\w-]+(,|\])|[0-9]+mm|$)", "Spaces missing around a relation", -1, ""),
+    Rule("eqs", r"(=|\\approx|\\doteq|\\geq|\\leq|\\gg|\\ll)(?! |\}|& |[\w-]+(,|\])|[0-9]+mm|$)", "Spaces missing around \"{}\"", -1, 0, True),
     Rule("cdt", r"[^ ]\\cdot[^$]", "Spaces missing around \\cdot", 1),
-    Rule("sie", r"(\\ang|\\SI|\\SIlist|\\SIrange)\{[^}]*(\\cdot|\\times|\^)[^}]*\}", "Use e notation instead of TeX"),
-    Rule("pws", r"(?<! |\"|\(|\[|\{|\$)\+(?! |\"|\)|\]|\})", "Spaces missing around \"+\"", -1, r"(^|[^ \"(\[{$])\+([^ \")\]}]|$)"),
-    Rule("tak", r"\btak\b(?!,)", "Do you really need this \"tak\" here?", 1, r"\btak\b([^,]|$)", "warning"),
-    Rule("fra", r"\\frac\b", "Use \\dfrac in answers", 0, None, "error", ("answer",)),
+    Rule("sie", r"(\\ang|\\SI|\\SIlist|\\SIrange)\{[^}]*(\\cdot|\\times|\^)[^}]*\}", "Use e notation instead of TeX inside {}", 1, 1, True),
+    Rule("pws", r"(?<! |\"|\(|\[|\{|\$)\+(?! |\"|\)|\]|\})", "Spaces missing around \"+\"", -1),
+    Rule("tak", r"\btak\b(?!,)", "Do you really need this \"tak\" here?", 1, severity="warning"),
+    Rule("fra", r"\\frac\b", "Use \\dfrac in answers", kinds=("answer",)),
 )
 LONGEST_LINE = 120
 #: Text that a line must hold for a rule to match: a plain search that spares most lines the pattern.
@@ -79,33 +79,39 @@ HINTS = {
 
 def selected(only: list[str] | None = None, ignore: list[str] | None = None, warnings: bool = False, kind: str | None = None) -> list[Rule]:
     """The rules that apply. Unknown names in ignore raise KeyError; unknown names in only select nothing."""
-    known = {r.id for r in RULES} | {"lln", "dds", "rfc"}
+    known = {r.id for r in RULES} | {"lln", "dds", "rfc", "lfn", "lne"}
     if missing := set(ignore or ()) - known:
         raise KeyError(sorted(missing)[0])
     return [r for r in RULES if (only is None or r.id in only) and r.id not in (ignore or ()) and (warnings or r.severity == "error") and (kind is None and len(r.kinds) > 1 or kind in r.kinds)]
 
 
-def _struct(rule: str, severity: str, message: str, col: Column) -> Column:
-    return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), col.cast("int").alias("col"))
+def _struct(rule: str, severity: str, message: str | Column, col: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (message if isinstance(message, Column) else F.lit(message)).alias("message"), col.cast("int").alias("col"))
+
+
+#: Classes (\\s, \\w, \\b) take in all of Unicode, and only a newline ends a line.
+_FLAGS = "(?Ud)"
+
+
+def _found(line: Column, pattern: str) -> Column:
+    return F.rlike(line, F.lit(_FLAGS + pattern))
 
 
 def _first(line: Column, pattern: str) -> Column:
-    """Start of the first match, 0-based; -1 if there is none."""
-    return F.regexp_instr(line, F.lit("(?d)" + pattern)) - 1
+    """Start of the first match in characters, 0-based: the length of the shortest text that a match follows."""
+    return F.length(F.regexp_extract(line, rf"{_FLAGS}^([\s\S]*?)(?:{pattern})", 1))
 
 
 def _match_rule(line: Column, r: Rule) -> Column:
-    # in characters; regexp_instr counts UTF-16 units, but is needed where a pattern looks around itself
-    start = F.position(F.regexp_extract(line, "(?d)" + r.pattern, 0), line) - 1 if r.portable is None else _first(line, r.pattern)
-    if r.id in ("eqs", "sie", "pws"):  # the column is counted from the match's end, or after the command
-        text = F.regexp_extract(line, "(?d)" + r.pattern, 1 if r.id == "sie" else 0)
-        at = start + F.length(text) + {"eqs": -1, "sie": 1, "pws": -2}[r.id]
-    else:
-        at = start + r.offset
-    hit = F.rlike(line, F.lit("(?d)" + r.pattern))
+    """A rule's finding, or null. Everything but the test itself is computed for lines with a finding only."""
+    at, message = _first(line, r.pattern) + r.offset, r.message
+    if r.behind:
+        text = F.regexp_extract(line, _FLAGS + r.pattern, r.shown)
+        at, message = at + F.length(text), F.concat(*[text if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\})", r.message))])
+    hit = _found(line, r.pattern)
     if r.id in HINTS:
         hit = F.contains(line, F.lit(HINTS[r.id])) & hit
-    return F.when(hit, _struct(r.id, r.severity, r.message, at))
+    return F.when(hit, _struct(r.id, r.severity, message, at))
 
 
 def _length_rule(line: Column) -> Column:
@@ -119,34 +125,64 @@ _OPEN, _CLOSE, _ANY = r"^\$\$ ?\\begin\{aligned\}", r"^\\end\{aligned\} ?\$\$",
 
 
 def _dollar_rule(line: Column) -> Column:
-    f = lambda p: F.rlike(line, F.lit("(?d)" + p))
-    return (
+    f = lambda p: _found(line, p)
+    rule = (
         F.when(f(_NO_SPACE), _struct("dds", "error", "Reference missing a space", _first(line, _NO_SPACE) + 4))
         .when(f(_GOOD), F.lit(None))
         .when(f(_OPEN), _struct("dds", "error", "\\begin{aligned} on the same line as $$", F.lit(0)))
         .when(f(_CLOSE), _struct("dds", "error", "\\end{aligned} on the same line as $$", F.lit(0)))
-        .when(f(_ANY), _struct("dds", "error", "Double dollars within text", _first(line, _ANY)))
+        .otherwise(_struct("dds", "error", "Double dollars within text", _first(line, _ANY)))
     )
+    return F.when(F.contains(line, F.lit("$$")), rule)
+
+
+_LABEL = r"\{#(?:eq|fig|tbl):([^}]+)\}"
+MODULES = ("contest", "seminar")
 
 
-def label_rule(line: Column, kind: Column, node: Column) -> Column:
-    """A reference label has to be the node's id (problem), or the id, a colon and a name (solution)."""
-    whole = r"\{#(?:eq|fig|tbl):([^}]+)\}"
-    label = F.regexp_extract(line, whole, 1)
-    named = F.startswith(label, F.concat(node, F.lit(":"))) & F.rlike(F.substring(label, F.length(node) + 2, F.length(label)), F.lit("^[a-zA-Z0-9_]"))
-    ok = F.when(kind == "problem", F.startswith(label, node)).otherwise((kind == "solution") & named)
-    return F.when(F.rlike(line, F.lit(whole)) & ~ok, _struct("rfc", "error", "Invalid label", _first(line, whole) + 6))
+def label_rule(line: Column, kind: Column, node: Column, module: str = "contest") -> Column:
+    """A reference label has to name its file's node. contest: the node's id (problem), or the id, a colon and a name
+    (solution). seminar: node (volume, semester, round and problem run together), a colon and a name, in any
+    file. Another module raises ValueError."""
+    if module not in MODULES:
+        raise ValueError(f"unsupported module {module!r}")
+    label = F.regexp_extract(line, _LABEL, 1)
+    named = lambda letters: F.startswith(label, F.concat(node, F.lit(":"))) & F.rlike(F.substring(label, F.length(node) + 2, F.length(label)), F.lit(f"(?U)^{letters}"))
+    if module == "seminar":
+        ok, message = named(r"\w"), "Nonconforming label"
+    else:
+        ok, message = F.when(kind == "problem", F.startswith(label, node)).otherwise((kind == "solution") & named("[a-zA-Z0-9_]")), "Invalid label"
+    return F.when(F.contains(line, F.lit("{#")) & F.rlike(line, F.lit(_LABEL)) & ~F.coalesce(ok, F.lit(False)), _struct("rfc", "error", message, _first(line, _LABEL) + 6))
+
 
+def file_rules(line: Column, kind: Column, node: Column) -> list[Column]:
+    """The rules of a kind of file (problem, solution, answer), each a finding or null.
 
-def findings(line: Column, rules: list[Rule] | None = None, extra: bool = True) -> Column:
+    lfn: a label without a name; lne: a label of the node's id and one more character. Their patterns hold the id, so
+    they are made for lines with such a label only.
+    """
+    mark = F.when(kind == "problem", r"\{-?(?:#|@)(?:eq|fig|sec):").when(kind == "solution", r"\{(?:#|@)(?:eq|fig|sec):")
+    some = kind.isin("problem", "solution") & F.contains(line, F.lit("{")) & _found(line, r"\{-?[#@](?:eq|fig|sec):")
+    empty = F.concat(mark, F.lit(r"\}"))
+    longer = F.concat(mark, F.lit(r"\Q"), node, F.lit(r"\E"), F.when(kind == "problem", r"[^ ]\}").otherwise(r"[^:]\}"))
+    start = lambda p: F.length(F.call_function("regexp_extract", line, F.concat(F.lit(_FLAGS + r"^([\s\S]*?)(?:"), p, F.lit(")")), F.lit(1)))
+    test = lambda p: some & F.rlike(line, F.concat(F.lit(_FLAGS), p))
+    lne = F.when(kind == "problem", "Non-empty label in problem").otherwise("Empty or mismatching label in solution")
+    answer = [F.when(kind == "answer", _match_rule(line, r)) for r in RULES if r.kinds == ("answer",)]
+    return [F.when(test(empty), _struct("lfn", "error", "Label does not match file name", start(empty))), F.when(test(longer), _struct("lne", "error", lne, start(longer))), *answer]
+
+
+def findings(line: Column, rules: list[Rule] | None = None, extra: bool = True, of_file: list[Column] | None = None) -> Column:
     """Array of (rule_id, severity, message, col): at most one finding a rule. Comment lines (%) and null
-    lines have none. col is 0-based. The whole array is one expression: no join, no Python."""
+    lines have none. col is 0-based. of_file: findings by the file (label_rule, file_rules). The whole array is one
+    expression: no join, no Python."""
     by: dict[str, list[Column]] = {}
     for r in selected() if rules is None else rules:
         by.setdefault(r.id, []).append(_match_rule(line, r))
     made = [x[0] if len(x) == 1 else F.coalesce(*x) for x in by.values()]  # of a rule with two patterns the first
     if extra:
         made += [_length_rule(line), _dollar_rule(line)]
+    made += of_file or []
     # groups of rules keep each generated method small
     groups = [F.array_compact(F.array(*made[i : i + 12])) for i in range(0, len(made), 12)]
     none = F.array().cast("array<struct<rule_id:string,severity:string,message:string,col:int>>")

@@ -11,7 +11,7 @@ from quire.functions.special import gamma
 from quire.operators import lint as L
 from quire.operators import render, trees
 from quire.plans.catalogue import query
-from quire.plans.text import BAITED, PORTABLE, baited, hits_sql, sql_text
+from quire.plans.text import ALL_HITS, BAITED, RULES, baited, sql_text
 from quire.runtime import table
 from quire.sources import schemas
 
@@ -81,10 +81,10 @@ def unit_of_the_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT doc_id, line_no, rule_id FROM (SELECT h.doc_id, h.line_no, h.rule_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.line_no, o.ord) AS r FROM ({hits_sql(BAITED, PORTABLE)}) h JOIN (SELECT * FROM (VALUES {', '.join(f"('{r.id}', {i})" for i, r in enumerate(PORTABLE))}) AS o(id, ord)) o ON o.id = h.rule_id) WHERE r = 1"
+    f"SELECT doc_id, line_no, rule_id FROM (SELECT h.doc_id, h.line_no, h.rule_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.line_no, o.ord) AS r FROM ({ALL_HITS(BAITED)}) h JOIN (SELECT * FROM (VALUES {', '.join(f"('{r.id}', {i})" for i, r in enumerate(RULES) if i == [x.id for x in RULES].index(r.id))}) AS o(id, ord)) o ON o.id = h.rule_id) WHERE r = 1"
 )
 def lint_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = baited(spark, sf_dir).select("doc_id", "line_no", L.findings(F.col("line"), PORTABLE, extra=False).alias("f")).where(F.size("f") > 0)
+    d = baited(spark, sf_dir).select("doc_id", "line_no", L.findings(F.col("line"), RULES, extra=False).alias("f")).where(F.size("f") > 0)
     first = F.min_by(F.struct("line_no", F.col("f")[0]["rule_id"].alias("rule_id")), "line_no")
     return d.groupBy("doc_id").agg(first.alias("x")).select("doc_id", "x.line_no", "x.rule_id")
 
