@@ -45,39 +45,42 @@ def upnth(n: Column) -> Column:
     return F.when(n >= 0, F.concat(F.lit("$"), n.cast("string"), F.lit("^{\\mathrm{"), ordinal_suffix(n), F.lit("}}$")))
 
 
-def bound(value: Column, use) -> Column:  # noqa: ANN001
-    """use(value) with value evaluated once, however often use mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def cut_extra_one(s: Column) -> Column:
     """Drops a mantissa of exactly 1 before an exponent: 1e+09 to e+09; negative numbers stay."""
-    return bound(s, lambda t: F.when(F.startswith(t, F.lit("1")) & F.rlike(t, F.lit(r"^1\.?e[+-]?[0-9]+")), F.substring(t, 2, 1_000_000)).otherwise(t))
+    return F.when(F.startswith(s, F.lit("1")) & F.rlike(s, F.lit(r"^1\.?e[+-]?[0-9]+")), F.substring(s, 2, 1_000_000)).otherwise(s)
 
 
 def fixed(x: Column, digits: int = 6) -> Column:
-    """Fixed notation, without the extra one. Ties of the shortest decimal form are rounded away from zero."""
-    return cut_extra_one(F.format_string(f"%.{digits}f", x.cast("double")))
-
+    """Fixed notation, which has no exponent and so no extra one. Ties of the shortest decimal form are rounded away
+    from zero; null gives null."""
+    x = x.cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
-def _without_zeros(s: Column) -> Column:
-    return F.when(F.contains(s, F.lit(".")), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
 
+def general(x: Column, digits: int | Column = 6) -> Column:
+    """General notation as C's %g, without the extra one: scientific for exponents under -4 or from digits on, no
+    trailing zeros. Null gives null, others than numbers nan and inf.
 
-def general(x: Column, digits: int = 6) -> Column:
-    """General notation as C's %g: scientific for exponents under -4 or from digits on, no trailing zeros."""
-    p = max(1, digits)
+    The number is formatted once, in scientific notation; its digits and exponent then make up either form, in
+    plain string functions of generated code.
+    """
     x = x.cast("double")
-
-    def shown(sci: Column) -> Column:
-        tail = F.substring(sci, p + 2 if p > 1 else 2, 9)  # e and the exponent
-        tail = F.when(F.startswith(sci, F.lit("-")), F.substring(sci, p + 3 if p > 1 else 3, 9)).otherwise(tail)
-        exponent = F.substring(tail, 2, 9).cast("int")
-        plain = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(F.lit(0), F.lit(p - 1) - exponent).cast("string"), F.lit("f")), x)
-        scientific = F.concat(_without_zeros(F.substring_index(sci, "e", 1)), tail)
-        return F.when((exponent < -4) | (exponent >= p), scientific).otherwise(bound(plain, _without_zeros))
-
-    return F.when(x.isNull(), None).when(x == 0, "0").otherwise(cut_extra_one(bound(F.format_string(f"%.{p - 1}e", x), shown)))
+    if isinstance(digits, Column):
+        p = F.greatest(digits, F.lit(1))
+        sci = F.call_function("format_string", F.concat(F.lit("%."), (p - 1).cast("string"), F.lit("e")), x)
+    else:
+        p = F.lit(max(1, digits))
+        sci = F.format_string(f"%.{max(1, digits) - 1}e", x)
+    below = F.startswith(sci, F.lit("-"))
+    tail = F.substring_index(sci, "e", -1)
+    e = F.when(F.rlike(tail, F.lit("^[+-]")), tail.cast("int"))
+    d = F.rtrim(F.translate(F.substring_index(sci, "e", 1), "-.", ""), F.lit("0"))  # valid digits, without zeros at the end
+    rest = F.substring(d, 2, 1_000)
+    scientific = F.concat(F.when((d == "1") & ~below, "").otherwise(F.concat(F.left(d, F.lit(1)), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))), F.lit("e"), tail)
+    part = F.substr(d, e + 2, F.lit(1_000))
+    large = F.concat(F.rpad(F.left(d, e + 1), e + 1, F.lit("0")), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    shown = F.when(e.isNull(), F.lower(F.left(F.translate(sci, "-", ""), F.lit(3)))).when((e < -4) | (e >= p), scientific).when(d == "", "0").when(e >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+    return F.concat(F.when(below & (d != ""), "-").otherwise(""), shown, F.when(x.isNotNull(), ""))
 
 
 def num(s: Column) -> Column:
@@ -85,9 +88,9 @@ def num(s: Column) -> Column:
     return F.concat(F.lit("\\num{"), s, F.lit("}"))
 
 
-def approximate(x: Column, digits: int) -> Column:
+def approximate(x: Column, digits: int | Column) -> Column:
     """x rounded to so many valid digits, half away from zero; 0 for 0."""
-    p = F.lit(digits - 1) - F.when(x == 0, 1.0).otherwise(F.floor(F.log10(F.abs(x))).cast("double"))
+    p = (digits - 1 if isinstance(digits, Column) else F.lit(digits - 1)) - F.when(x == 0, 1.0).otherwise(F.floor(F.log10(F.abs(x))).cast("double"))
     scale = F.pow(F.lit(10.0), F.abs(p))
     up = F.when(p >= 0, F.abs(x) * scale).otherwise(F.abs(x) / scale)
     whole = F.floor(up + 0.5).cast("double")

@@ -5,40 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import constants as C
 from quire.functions import quantities as Q
 from quire.functions.lists import math_display
 from quire.functions.special import gamma
 from quire.operators import lint as L
-from quire.operators import render, trees
+from quire.operators import trees
 from quire.plans.catalogue import query
 from quire.plans.text import ALL_HITS, BAITED, RULES, baited, sql_text
 from quire.runtime import table
 from quire.sources import schemas
 
-_ALIASES = {"speed_of_light": "c", "gravity": "G", "planck_bar": "hbar", "boltzmann": "k_B", "avogadro": "N_A"}
-_ALIAS_ROWS = ", ".join(f"('{a}', '{n}')" for a, n in _ALIASES.items())
+_REFS = ("c", "speed_light", "G", "boltzmann", "nope", "m_e", "hbar", "gforce", "eps0")
+_K = "(VALUES " + ", ".join(f"('{n}', {sql_text(s)}, {float(m)!r}::DOUBLE, {list(a)!r}::VARCHAR[])" for n, s, a, m, *_ in C.CONSTANTS) + ") AS k(name, symbol, magnitude, aliases)"
 
 
-def _catalogue(spark: SparkSession) -> DataFrame:
-    """Constants by every name they go by."""
-    other = {}
-    for alias, name in _ALIASES.items():
-        other.setdefault(name, []).append(alias)
-    rows = [(n, s, m, other.get(n, [])) for n, s, m in render.CONSTANTS]
-    d = spark.createDataFrame(rows, "name string, symbol string, magnitude double, aliases array<string>")
-    return d.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("ref"), "name", "symbol", "magnitude")
-
-
-_K = "(VALUES " + ", ".join(f"('{n}', '{s}', {m!r}::DOUBLE)" for n, s, m in render.CONSTANTS) + ") AS k(name, symbol, magnitude)"
-
-
-@query(
-    f"SELECT p_partkey, r AS ref, name, symbol, magnitude FROM (SELECT p_partkey, (['c', 'speed_of_light', 'G', 'boltzmann', 'nope', 'avogadro', 'hbar'])[p_partkey % 7 + 1] AS r FROM part) p JOIN (SELECT name AS ref, * FROM {_K} UNION ALL SELECT a.alias, k.* FROM {_K} JOIN (VALUES {_ALIAS_ROWS}) AS a(alias, of) ON a.of = k.name) c ON c.ref = p.r"
-)
+@query(f"SELECT p_partkey, r AS ref, name, symbol, magnitude FROM (SELECT p_partkey, ({list(_REFS)!r})[p_partkey % {len(_REFS)} + 1] AS r FROM part) p JOIN {_K} ON k.name = r OR list_contains(k.aliases, r)")
 def constant_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = F.array(*[F.lit(x) for x in ("c", "speed_of_light", "G", "boltzmann", "nope", "avogadro", "hbar")])
-    d = table(spark, sf_dir, "part").select("p_partkey", F.get(refs, (F.col("p_partkey") % 7).cast("int")).alias("ref"))
-    return d.join(_catalogue(spark), "ref").select("p_partkey", "ref", "name", "symbol", "magnitude")
+    refs = F.array(*[F.lit(x) for x in _REFS])
+    d = table(spark, sf_dir, "part").select("p_partkey", F.get(refs, (F.col("p_partkey") % len(_REFS)).cast("int")).alias("ref"))
+    return d.join(C.references(spark), "ref").select("p_partkey", "ref", "name", "symbol", "magnitude")
 
 
 @query(
@@ -68,16 +54,16 @@ _U = "([1.0, 0.01, 0.3048]::DOUBLE[])"
 
 
 @query(
-    f"SELECT l_orderkey, count(*) AS n, round(sum(v * f / first_f), 6) AS total, arg_min(u, o) AS unit FROM (SELECT *, first_value(f) OVER (PARTITION BY l_orderkey ORDER BY o) AS first_f FROM (SELECT l_orderkey, l_quantity AS v, {_U}[l_linenumber % 3 + 1] AS f, (['metre', 'centimetre', 'foot'])[l_linenumber % 3 + 1] AS u, l_linenumber * 1000000 + l_partkey AS o FROM lineitem)) GROUP BY l_orderkey"
+    f"SELECT l_orderkey, count(*) AS n, round(sum(v * f / first_f), 6) AS total, arg_min(u, o) AS unit FROM (SELECT *, first_value(f) OVER (PARTITION BY l_orderkey ORDER BY o) AS first_f FROM (SELECT l_orderkey, l_quantity AS v, {_U}[l_linenumber % 3 + 1] AS f, (['meter', 'centimeter', 'foot'])[l_linenumber % 3 + 1] AS u, l_linenumber * 1000000 + l_partkey AS o FROM lineitem)) GROUP BY l_orderkey"
 )
 def unit_of_the_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of lengths brought to the unit of their first item."""
-    unit = F.get(F.array(F.lit("metre"), F.lit("centimetre"), F.lit("foot")), F.col("l_linenumber") % 3)
-    d = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("o"), Q.quantity(F.col("l_quantity"), unit).alias("q"))
+    unit = F.get(F.array(F.lit("meter"), F.lit("centimeter"), F.lit("foot")), F.col("l_linenumber") % 3)
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("o"), Q.quantity(F.col("l_quantity"), unit, among=["meter", "centimeter", "foot"]).alias("q"))
     first = F.first("q").over(Window.partitionBy("l_orderkey").orderBy("o"))
     d = d.withColumn("first", first)
-    value = Q.base(F.col("q")) / F.col("first.factor")
-    return d.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.min_by("q.unit", "o").alias("unit"))
+    value = Q.base(F.col("q")) / F.col("first.unit.factor")
+    return d.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"), F.min_by(Q.unit_name(F.col("q")), F.col("o")).alias("unit"))
 
 
 @query(

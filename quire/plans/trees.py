@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import constants as C
 from quire.functions.lists import render_list
 from quire.operators import render, trees
 from quire.plans.catalogue import query
+from quire.plans.text import sql_text
 from quire.runtime import table
 
 
@@ -80,16 +82,25 @@ def locale_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(l, "id").select("doc_id", "full_name", F.col("quotes.open_mark").alias("open_mark"), "rtl")
 
 
-_CONSTANTS = "(VALUES " + ", ".join(f"('{n}', '{t}', {m!r}::DOUBLE)" for n, t, m in render.CONSTANTS) + ") AS k(name, symbol, magnitude)"
+#: What the volumes of the data call some constants, and names with a translation, by language.
+_TRANSLATED = {"en": ("gforce", "speed_light", "planck"), "sk": ("gforce", "gravity")}
+_CONSTANTS = "(VALUES " + ", ".join(f"('{n}', {sql_text(s)}, {list(a)!r}::VARCHAR[])" for n, s, a, *_ in C.CONSTANTS) + ") AS k(name, symbol, aliases)"
+_WORDS = "(VALUES " + ", ".join(f"('{lang}', '{n}')" for lang, names in _TRANSLATED.items() for n in names) + ") AS w(lang, name)"
 
 
 @query(
-    f"SELECT DISTINCT v.volume_id, c.pos, c.name, CASE WHEN k.name IS NULL THEN 'unknown constant ' || c.name ELSE k.symbol END AS shown FROM (SELECT volume_id, unnest(range(1, len(constants) + 1)) AS pos, unnest(constants) AS name FROM volumes) c JOIN volumes v ON v.volume_id = c.volume_id LEFT JOIN {_CONSTANTS} ON k.name = c.name"
+    f"SELECT DISTINCT c.volume_id, g.lang, c.pos, c.name, CASE WHEN k.name IS NULL THEN 'Undefined constant ' || c.name WHEN w.name IS NULL THEN 'No translation provided for ' || c.name ELSE g.lang || ':' || w.name END AS label, CASE WHEN k.name IS NOT NULL THEN '$' || k.symbol || '$' END AS symbol "
+    f"FROM (SELECT volume_id, unnest(range(1, len(constants) + 1)) AS pos, unnest(constants) AS name FROM volumes) c CROSS JOIN (SELECT unnest(['en', 'sk']) AS lang) g LEFT JOIN {_CONSTANTS} ON k.name = c.name OR list_contains(k.aliases, c.name) LEFT JOIN {_WORDS} ON w.lang = g.lang AND w.name = k.name"
 )
 def constants_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "volumes").select("volume_id", F.posexplode("constants").alias("pos", "name")).withColumn("pos", (F.col("pos") + 1).cast("bigint")).distinct()
-    d = v.join(render.constants(spark), "name", "left")
-    return d.select("volume_id", "pos", "name", F.when(F.col("symbol").isNull(), F.concat(F.lit("unknown constant "), "name")).otherwise(F.col("symbol")).alias("shown"))
+    """Each volume's constants in two languages: the constant by its name or alias, then its name in the language, each
+    with a text for what is missing."""
+    v = table(spark, sf_dir, "volumes").select("volume_id", F.posexplode("constants").alias("pos", "ref")).withColumn("pos", (F.col("pos") + 1).cast("bigint")).distinct()
+    v = v.withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("sk"))))
+    words = spark.createDataFrame([(lang, n, f"{lang}:{n}") for lang, names in _TRANSLATED.items() for n in names], "lang string, name string, word string")
+    d = v.join(C.references(spark).select("ref", "name", "symbol"), "ref", "left").join(words, ["lang", "name"], "left")
+    label = F.when(F.col("name").isNull(), F.concat(F.lit("Undefined constant "), "ref")).otherwise(F.coalesce("word", F.concat(F.lit("No translation provided for "), "ref")))
+    return d.select("volume_id", "lang", "pos", F.col("ref").alias("name"), label.alias("label"), F.concat(F.lit("$"), "symbol", F.lit("$")).alias("symbol"))
 
 
 @query(
