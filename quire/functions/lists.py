@@ -49,6 +49,44 @@ def wrapped(command: str, s: Column) -> Column:
     return F.concat(F.lit(f"\\{command}{{"), s, F.lit("}"))
 
 
+def math_inline(content: Column) -> Column:
+    """Within text; a newline at the end is dropped."""
+    return F.concat(F.lit("$"), F.regexp_replace(content, r"\n\z", ""), F.lit("$"))
+
+
+def math_aligned(content: Column, label: Column) -> Column:
+    """A labelled display of aligned lines, each indented by four spaces."""
+    body = F.regexp_replace(F.regexp_replace(content, r"\n\z", ""), r"(?m)^(?!\z)", "    ")
+    return F.concat(F.lit("$${\n"), body, F.lit("\n}$$ {#eq:"), label, F.lit("}"))
+
+
+def title(s: Column) -> Column:
+    """Each word with a capital letter and small ones after it; words end at blanks and at -, (, {, [ and <."""
+    words = F.split(F.lower(s), r"(?<=[-\s({\[<])")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))), "")
+
+
 def math_display(content: Column, label: Column) -> Column:
     """A labelled display equation, each line of it indented by four spaces."""
     return F.concat(F.lit("$$\n"), F.regexp_replace(content, r"(?m)^(?!\z)", "    "), F.lit("\n$$ {#eq:"), label, F.lit("}"))
+
+
+PERSON = "struct<name:string,gender:string>"
+
+
+def people_of(json: Column) -> Column:
+    """Array of (name, gender) from JSON: a name, an object with name and gender, or a list of either. A plain name has
+    the gender '?'. Null gives null; what is none of these raises."""
+    kind = F.substring(F.ltrim(json), 1, 1)
+    fail = F.raise_error(F.concat(F.lit("no people: "), json)).cast(f"array<{PERSON}>")
+
+    def one(text: Column) -> Column:
+        made = F.from_json(text, "name STRING, gender STRING", {"mode": "PERMISSIVE"})
+        plain = F.get_json_object(F.concat(F.lit('{"x":'), text, F.lit("}")), "$.x")
+        good = F.when(F.startswith(text, F.lit("{")) & made["name"].isNotNull() & made["gender"].isNotNull(), made).when(F.startswith(text, F.lit('"')), F.struct(plain.alias("name"), F.lit("?").alias("gender")))
+        return F.coalesce(good, F.raise_error(F.concat(F.lit("no person: "), text)).cast(PERSON))
+
+    # items of a list keep their JSON text where the list is read as texts; plain names lose their quotes
+    items = F.from_json(json, "array<string>")
+    listed = F.transform(items, lambda x: F.when(F.startswith(x, F.lit("{")), one(x)).otherwise(F.struct(x.alias("name"), F.lit("?").alias("gender"))))
+    return F.when(json.isNull(), None).when((kind == '"') | (kind == "{"), F.array(one(F.trim(json)))).when((kind == "[") & items.isNotNull(), listed).otherwise(fail)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,19 @@ def approximate(x: Column, digits: int | Column) -> Column:
     up = F.when(p >= 0, F.abs(x) * scale).otherwise(F.abs(x) / scale)
     whole = F.floor(up + 0.5).cast("double")
     return F.signum(x) * F.when(p >= 0, whole / scale).otherwise(whole * scale)
+
+
+def shorthand(name: str):  # noqa: ANN201
+    """The formatter that a short name stands for: f0 to f9 and g0 to g9 (fixed and general notation of a number), nf and
+    ng (in TeX's num command), ef and eg (of a quantity, with its symbol); these take a number of digits, too (nf2).
+    Without one, six digits. Unknown names raise KeyError."""
+    m = re.fullmatch(r"([ne]?)([fg])(\d?)", name)
+    if not m or not (m[1] or m[3]):
+        raise KeyError(name)
+    digits = int(m[3]) if m[3] else 6
+    plain = lambda x: (fixed if m[2] == "f" else general)(x, digits)
+    if m[1] == "e":
+        from quire.functions import quantities as Q
+
+        return lambda q: Q.equals(q, plain(Q.mag(q)))
+    return (lambda x: num(plain(x))) if m[1] else plain

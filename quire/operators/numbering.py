@@ -57,3 +57,26 @@ def neighbours(df: DataFrame, parent: list[str], order: list[str], value: str) -
 def padding(n: Column, multiple: int = 3) -> Column:
     """Items that are added to fill up: one if n is no multiple, else none."""
     return F.when(n % multiple == 0, 0).otherwise(1)
+
+
+def number_by(df: DataFrame, parent: list[str], order: list[str], numbers: DataFrame, name: str = "number") -> DataFrame:
+    """Numbers from any sequence: numbers has place (from 0) and number. An item beyond its end raises."""
+    d = number(df, parent, order, 0, "_place").join(numbers.select(F.col("place").cast("bigint").alias("_place"), F.col("number").alias("_number")), "_place", "left")
+    checked = F.coalesce(F.col("_number"), F.raise_error(F.concat(F.lit("no number for place "), F.col("_place").cast("string"))).cast("bigint"))
+    return d.withColumn(name, checked).drop("_place", "_number")
+
+
+def primes(count: int) -> list[int]:
+    made: list[int] = []
+    n = 2
+    while len(made) < count:
+        if all(n % p for p in made if p * p <= n):
+            made.append(n)
+        n += 1
+    return made
+
+
+def padded(df: DataFrame, parent: list[str], order: str, multiple: int = 3) -> DataFrame:
+    """df with one more row (null but for the parent; column added) for each parent whose items are no multiple."""
+    n = df.groupBy(*parent).agg(F.count("*").alias("_n")).where(padding(F.col("_n"), multiple) == 1).select(*parent, F.lit(True).alias("added"))
+    return df.withColumn("added", F.lit(False)).unionByName(n, allowMissingColumns=True)

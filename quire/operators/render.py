@@ -29,6 +29,33 @@ def fill(template: str, values: dict[str, Column], passes: int = 1) -> Column:
         at = m.end()
     out = F.concat(*parts, F.lit(template[at:])) if parts else F.lit(template)
     for _ in range(passes - 1):
-        for name, value in values.items():
-            out = F.replace(out, F.lit(f"(* {name} *)"), value.cast("string"))
+        for name, value in values.items():  # (in any spacing; a value's own $ and \\ are no marks)
+            quoted = F.regexp_replace(value.cast("string"), r"([\\$])", r"\\$1")
+            out = F.regexp_replace(out, F.lit(rf"\(\*\s*{name}\s*\*\)"), quoted)
     return out
+
+
+# What a template's suffix becomes.
+SUFFIXES = {".jtex": ".tex", ".jyaml": ".yaml"}
+
+
+def target_name(template: Column) -> Column:
+    """The name of what a template renders to; another suffix raises."""
+    out = None
+    for old, new in SUFFIXES.items():
+        value = F.concat(F.regexp_replace(template, f"{re.escape(old)}\\z", ""), F.lit(new))
+        out = F.when(F.endswith(template, F.lit(old)), value) if out is None else out.when(F.endswith(template, F.lit(old)), value)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown suffix of "), template)).cast("string"))
+
+
+def write_documents(documents: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One folder a document (name=...), with its text in one file, below path. A document is one row."""
+    documents.select(name, F.col(text).alias("value")).repartition(name).write.mode("overwrite").partitionBy(name).option("lineSep", "").text(path)
+
+
+def passed(value: Column, kind: Column) -> Column:
+    """The gate for values of templates, given their JSON text and kind (string, number, object): texts and numbers pass
+    as they are, an object has to be a constant (magnitude and unit), anything else raises."""
+    constant = F.from_json(value, "magnitude DOUBLE, unit STRING")
+    ok = F.when(kind.isin("string", "number"), value).when((kind == "object") & constant["magnitude"].isNotNull() & F.get_json_object(value, "$.unit").isNotNull(), value)
+    return F.coalesce(ok, F.raise_error(F.concat(F.lit("unsupported value: "), F.coalesce(value, F.lit("null")))).cast("string"))

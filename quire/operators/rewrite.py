@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pattern and replacement (Java syntax) of the rewrites, in the order of application.
@@ -81,6 +81,17 @@ def convert(line: Column, fmt: str) -> Column:
     return rewrite(rewrite(line, "pre", fmt), "post", fmt)
 
 
+def converted(lines: DataFrame, keys: list[str], fmt: str) -> DataFrame:
+    """One row a text from its lines: the text after all rewrites, without newlines at its end, and the first error of its
+    checks (by line; null if there is none). An error doesn't keep a text from being converted."""
+    after = convert(F.col("line"), fmt)
+    d = lines.select(*keys, "line_no", after.alias("_l"), F.concat(violations(F.col("line"), "pre", fmt), violations(after, "post", fmt)).alias("_e"))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "_l")))
+    error = F.min_by(F.col("_e")[0], F.when(F.size("_e") > 0, F.col("line_no")))
+    d = d.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["_l"]), "").alias("_t"), F.when(F.max(F.size("_e")) > 0, error).alias("error"))
+    return d.select(*keys, F.rtrim("_t", F.lit("\n")).alias("text"), "error")
+
+
 # Where a straight quotation mark stands, in the order of application, and which mark it becomes.
 QUOTES = ((r'"(_)', "{close}$1"), (r'"(\b)', "{open}$1"), (r'(\b)"', "$1{close}"), (r'(\S)"', "$1{close}"), (r'"(\S)', "{open}$1"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Two enumerations of tags, and the codes of genders.
-TAGS_CONTEXT = "algebra analysis analytic-geometry astronomy chemistry circuits combinatorics dynamics electrostatics geometry gravitation hydrodynamics kinematics magnetism mechanics optics statics thermodynamics units waves".split()
-GENDERS = ("m", "f", "n", "?")
+# The codes of the languages that files are filed under.
+LANGUAGES = ("cs", "de", "en", "es", "fa", "fr", "hu", "pl", "pt", "qq", "ru", "sk", "uk")
 
 
 def all_of(*tests: Column) -> Column:
@@ -81,3 +82,99 @@ def tree_check(files: DataFrame, node: list[str], name: str, required: list[str]
     bad = F.when(any_of(*[full(p) for p in forbidden]), "forbidden").when(~known, "unexpected")
     odd = files.select(*node, bad.alias("problem"), F.col(name).alias("name")).where("problem is not null").distinct()
     return missing.unionByName(odd)
+
+
+def literal(value: Column, *values: object) -> Column:
+    """Whether the value is one of those given; null isn't."""
+    return F.coalesce(value.isin(*values), F.lit(False))
+
+
+def absent(value: Column) -> Column:
+    """For fields that must not be there."""
+    return value.isNull()
+
+
+def use(value: Column, convert, test) -> Column:  # noqa: ANN001
+    """Whether the value can be converted (convert gives null where not) and the result passes the test."""
+    made = convert(value)
+    return made.isNotNull() & F.coalesce(test(made), F.lit(False))
+
+
+def entries(m: Column, key, value) -> Column:  # noqa: ANN001
+    """Whether a map isn't null and each of its keys and values passes its test."""
+    good = F.forall(F.map_entries(m), lambda e: F.coalesce(key(e["key"]) & value(e["value"]), F.lit(False)))
+    return m.isNotNull() & F.coalesce(good, F.lit(False))
+
+
+def union(*rules: dict[str, Column]) -> dict[str, Column]:
+    """Rules of several schemas as one, the later rule of a name in place of the earlier."""
+    out: dict[str, Column] = {}
+    for r in rules:
+        out |= r
+    return out
+
+
+@dataclass(frozen=True)
+class Entry:
+    """What a tree may or must hold: entries whose parent's path matches parent wholly, and whose name holds name."""
+
+    parent: str
+    name: str
+    kinds: tuple[str, ...] = ("file",)
+    required: bool = False
+    forbidden: bool = False
+
+
+_LANG = "^(" + "|".join(LANGUAGES) + ")$"
+_FILE, _BOTH, _DIR = ("file",), ("file", "link"), ("dir",)
+_HANDOUT = tuple(
+    Entry(p, n, k, required=r)
+    for p, n, k, r in (
+        ("", r"[\w-]+\.(png|jpg|svg|gp|py|dat|tsv)", _BOTH, False), ("", r"[\w-]+", _DIR, False), ("", r"^text\.md$", _FILE, False), ("", r"^meta\.yaml$", _FILE, True),
+        ("[^/]+", r"^problem\.md$", _FILE, False), ("[^/]+", r"^solution\.md$", _FILE, False), ("[^/]+", r"^meta\.yaml$", _FILE, False), ("[^/]+", r"[\w-]+\.(png|jpg|svg|gp|py|dat|tsv)", _BOTH, False), ("[^/]+", r"[\w-]+", _DIR, False),
+        ("[^/]+/[^/]+", r"^problem\.md$", _FILE, False), ("[^/]+/[^/]+", r"^solution\.md$", _FILE, False), ("[^/]+/[^/]+", r"^meta\.yaml$", _FILE, True), ("[^/]+/[^/]+", r"[\w-]+\.(png|jpg|svg|gp|py|dat|tsv)", _BOTH, False),
+    )
+)
+# The trees of a contest's volume, a seminar's round, a handout and a homework.
+TREES: dict[str, tuple[Entry, ...]] = {
+    "contest_volume": (
+        Entry("", "^problems$", _DIR, True), Entry("", "^languages$", _DIR, True), Entry("", "^venues$", _DIR), Entry("", r"^meta\.yaml$", _FILE, True),
+        Entry("problems", ".", _DIR, True), Entry("problems/[^/]+", _LANG, _DIR, True), Entry("problems/[^/]+", r"^answer\.md$", _FILE, True), *(Entry("problems/[^/]+", f"^{n}$") for n in (r"answer-also\.md", r"answer-interval\.md", r"meta\.yaml")),
+        Entry("problems/[^/]+", r"\s", _FILE, forbidden=True), Entry("problems/[^/]+", r"[\w-]+\.(png|jpg|svg|gp|py|dat|tikz|tex|md)"),
+        *(Entry("problems/[^/]+/[^/]+", f"^{n}$", _BOTH) for n in (r"problem\.md", r"problem-extra\.md", r"solution\.md", r"answer-extra\.md")),
+        Entry("problems/[^/]+/[^/]+", r"[\w-]+\.(png|jpg|svg|gp|py|dat|tikz|tex)"), Entry("problems/[^/]+/[^/]+", r"\s", _FILE, forbidden=True),
+        Entry("languages", _LANG, _DIR, True), Entry("languages/[^/]+", r"^meta\.yaml$", _FILE, True), Entry("languages/[^/]+", r"^intro\.jtex$", _BOTH, True), Entry("languages/[^/]+", r"^instructions-inner\.jtex$", _BOTH), Entry("languages/[^/]+", r"^evaluators\.jtex$", _BOTH), Entry("languages/[^/]+", "^online$", _DIR),
+        *(Entry("languages/[^/]+/online", f"^{n}$", _BOTH, True) for n in (r"language\.png", r"signin\.png", r"welcome\.png", r"problems\.png", r"instructions-online-inner\.md")),
+        Entry("venues", r"\w+", _DIR), Entry("venues/[^/]+", r"^meta\.yaml$", _FILE, True), Entry("venues/[^/]+", r"^instructions-inner\.tex$", _BOTH),
+    ),
+    "seminar_round": (
+        Entry("", "0[1-8]", _DIR, True), Entry("", r"^meta\.yaml$", _FILE, True), *(Entry("[^/]+", f"^{n}$", _FILE, True) for n in (r"problem\.md", r"solution\.md", r"meta\.yaml")),
+        Entry("[^/]+", r"[\w-]+\.(png|jpg|svg|gp|py|cpp|dat|pdf)"), Entry("[^/]+", r"\s", _FILE, forbidden=True),
+    ),
+    "handout": _HANDOUT,
+    "homework": _HANDOUT,
+}
+
+
+def tree_violations(tree: DataFrame, root: list[str], schema: str | tuple[Entry, ...]) -> DataFrame:
+    """(root, path, problem, name): what a tree (root, parent, name, kind) has that its schema doesn't allow (unexpected,
+    forbidden), and what it misses (path is the folder, name the pattern). One scan and one aggregation by folder.
+
+    A name is allowed if an entry's pattern is found in it; a forbidden pattern goes before. Null kinds are ignored.
+    """
+    rules = TREES[schema] if isinstance(schema, str) else schema
+    here = lambda c, p: F.rlike(c, F.lit(f"^(?:{p})\\z"))
+    t = tree.where("kind is not null").select(*root, "parent", "name", "kind")
+    test = lambda r: here(F.col("parent"), r.parent) & F.rlike("name", F.lit(f"(?U){r.name}")) & F.col("kind").isin(*r.kinds)
+    bad = F.when(any_of(*[test(r) for r in rules if r.forbidden]), "forbidden").when(~any_of(*[test(r) for r in rules if not r.forbidden]), "unexpected")
+    odd = t.select(*root, F.col("parent").alias("path"), bad.alias("problem"), "name").where("problem is not null")
+    # what each folder, the root included, has of what it must have
+    path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws("/", "parent", "name"))
+    folders = t.where("kind = 'dir'").select(*root, path.alias("path"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))
+    tops = t.select(*root, F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind")).distinct()
+    must = [r for r in rules if r.required]
+    both = folders.unionByName(tops).unionByName(t.select(*root, F.col("parent").alias("path"), "name", "kind"))
+    has = both.groupBy(*root, "path").agg(*[F.coalesce(F.bool_or(F.rlike("name", F.lit(f"(?U){r.name}")) & F.col("kind").isin(*r.kinds)), F.lit(False)).alias(f"_{i}") for i, r in enumerate(must)])
+    left = F.array_compact(F.array(*[F.when(here(F.col("path"), r.parent) & ~F.col(f"_{i}"), F.lit(r.name)) for i, r in enumerate(must)]))
+    missing = has.select(*root, "path", F.lit("missing").alias("problem"), F.explode(left).alias("name"))
+    return odd.unionByName(missing)

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
 def _load() -> None:
     import importlib
 
-    for name in ("text", "records", "trees", "formats", "measures", "documents"):
+    for name in ("text", "records", "trees", "formats", "measures", "documents", "inventory"):
         try:
             importlib.import_module(f"quire.plans.{name}")
         except ModuleNotFoundError as e:

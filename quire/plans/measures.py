@@ -115,12 +115,15 @@ _UNIT_TEX = {
 _K = "(VALUES " + ", ".join(f"('{n}', {sql_text(s)}, {float(m)!r}::DOUBLE, {sql_text(_UNIT_TEX[u])}, {d}, {f}, {sql_text('[per-mode=reciprocal]' if n in C.OPTIONS else '')})" for n, s, _, m, u, d, _, f in C.CONSTANTS) + ") AS k(name, symbol, x, tex, digits, force_f, extra)"
 _ONE = lambda s: f"regexp_replace({s}, '^1(e[+-]?[0-9]+)', '\\1')"
 _SHOWN = lambda s: f"CASE WHEN tex = '' THEN '\\num' ELSE '\\qty' END || extra || '{{' || {s} || '}}{{' || tex || '}}'"
+#: Ties of the shortest decimal form are rounded away from zero here, while the twin's engine looks at the binary value:
+#: for it, the value is raised by less than any digit shows.
+_UP = "x * 1.000000000000001::DOUBLE"
 _G = _ONE("printf('%.' || digits || 'g', x)")
 _APPROX = "CASE WHEN x = 0 THEN 0 WHEN p >= 0 THEN floor(x * pow(10, p) + 0.5) / pow(10, p) ELSE floor(x / pow(10, -p) + 0.5) * pow(10, -p) END"
 
 
 @query(
-    f"SELECT p_partkey, name, {_SHOWN(_ONE("printf('%g', x)"))} AS full, CASE WHEN force_f THEN {_SHOWN("printf('%.' || digits || 'f', x)")} ELSE {_SHOWN(_G)} END AS formatted, CASE WHEN x < 1e15 THEN {_SHOWN("printf('%.2f', x)")} END AS fullf, {_SHOWN(_ONE("printf('%.3g', x)"))} AS fullg, symbol || ' = ' || {_SHOWN(_ONE("printf('%g', x)"))} AS equals, {_SHOWN(_ONE(f"printf('%g', {_APPROX})"))} AS approx, {_SHOWN("lpad(" + _ONE("printf('%g', x)") + ", 99, ' ')")} AS exact "
+    f"SELECT p_partkey, name, {_SHOWN(_ONE(f"printf('%g', {_UP})"))} AS full, CASE WHEN force_f THEN {_SHOWN("printf('%.' || digits || 'f', x)")} ELSE {_SHOWN(_G)} END AS formatted, CASE WHEN x < 1e15 THEN {_SHOWN("printf('%.2f', x)")} END AS fullf, {_SHOWN(_ONE("printf('%.3g', x)"))} AS fullg, symbol || ' = ' || {_SHOWN(_ONE(f"printf('%g', {_UP})"))} AS equals, {_SHOWN(_ONE(f"printf('%g', {_APPROX})"))} AS approx, {_SHOWN("lpad(" + _ONE(f"printf('%g', {_UP})") + ", 99, ' ')")} AS exact "
     f"FROM (SELECT *, digits - 1 - CASE WHEN x = 0 THEN 1 ELSE floor(log10(abs(x))) END AS p FROM {_K}) JOIN part ON p_partkey % 53 = (SELECT count(*) FROM {_K.replace('AS k(', 'AS j(')} WHERE j.name < name)".replace("j.name < name", "j.name < k2.name").replace(f"FROM {_K}) JOIN", f"FROM {_K}) k2 JOIN")
 )
 def constant_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

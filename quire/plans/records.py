@@ -61,7 +61,7 @@ def pad_to_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("added", N.padding(F.col("items"))).withColumn("padded", F.col("items") + F.col("added"))
 
 
-_LANGS = ("sk", "en", "cs", "de", "pl", "es")
+_LANGS = ("cs", "de", "en", "es", "fr", "pl", "pt", "ru", "sk", "uk", "hu", "fa")
 
 
 def _translations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +176,6 @@ def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(o, "origin_id").select("file_id", "origin_id", (F.col("committed_at").isNull() | (F.col("source_at") > F.col("committed_at"))).alias("stale"))
 
 
-@query("SELECT o_orderkey, CASE WHEN y < 1994 THEN 'old' ELSE 'new' END AS remote, CASE WHEN y < 1994 THEN 7 ELSE 8 END AS problems FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)")
-def problem_count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = F.year("o_orderdate")
-    return _orders(spark, sf_dir).select("o_orderkey", F.when(y < 1994, "old").otherwise("new").alias("remote"), F.when(y < 1994, 7).otherwise(8).alias("problems"))
-
-
 @query(
     "SELECT lang, kind, n, rank() OVER (PARTITION BY kind ORDER BY n DESC, lang) AS place FROM (SELECT coalesce(lang, '?') AS lang, kind, count(*) AS n FROM problem_files GROUP BY ALL)"
 )

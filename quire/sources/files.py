@@ -129,3 +129,60 @@ def read_yaml(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame
 def valid_utf8(files: DataFrame, content: str = "content") -> DataFrame:
     """Binary files with a flag whether they are UTF-8 throughout; null content is none."""
     return files.withColumn("utf8", F.coalesce(F.is_valid_utf8(F.col(content).cast("string")), F.lit(False)))
+
+
+def tree_of(spark: SparkSession, path: str) -> DataFrame:
+    """The tree below any path that Hadoop reads (HDFS, object stores, local), in the columns of the tree source.
+
+    Files come from Spark's own parallel listing, whose contents aren't read; folders are those that hold files
+    somewhere below. Such listings know no links.
+    """
+    root = path.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/").alias("full"), "length")
+    base = F.lit(root if root.startswith("/") else "/" + root.split(":", 1)[-1].lstrip("/"))
+    files = files.select(F.substr("full", F.length(base) + 2).alias("path"), F.lit("file").alias("kind"), F.col("length").alias("size"))
+    steps = F.split("path", "/")
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.when(F.size(steps) > 1, F.array_join(F.slice(steps, 1, i), "/")))).alias("path")).where("path is not null").distinct()
+    return _described(files.unionByName(above.select("path", F.lit("dir").alias("kind"), F.lit(None).cast("bigint").alias("size"))))
+
+
+def _described(entries: DataFrame) -> DataFrame:
+    """path, parent, name, kind, depth, size from path, kind and size."""
+    steps = F.split("path", "/")
+    parent = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    return entries.select("path", parent.alias("parent"), F.element_at(steps, -1).alias("name"), "kind", (F.size(steps) - 1).cast("int").alias("depth"), "size")
+
+
+def node_metadata(nodes_: DataFrame, leaves: DataFrame, meta: str = "meta.yaml") -> DataFrame:
+    """Nodes (path) with the leaves (file, path, value) of their metadata file as a map meta; a node whose file is empty
+    has an empty map, one whose file couldn't be read a null."""
+    of = leaves.where(F.endswith("file", F.lit("/" + meta))).select(F.regexp_replace("file", f"/{meta}$", "").alias("path"), F.col("path").alias("_k"), F.col("value").alias("_v"), "error")
+    made = of.groupBy("path").agg(F.map_from_entries(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v")))).alias("meta"), F.max("error").alias("_e"))
+    d = nodes_.join(made, "path", "left")
+    return d.withColumn("meta", F.when(F.col("_e").isNull(), F.coalesce("meta", F.create_map().cast("map<string,string>")))).drop("_e")
+
+
+def revision(folder: str) -> tuple[str | None, str | None]:
+    """Hash (short) and branch of a git folder, from its files; nulls where there is none."""
+    head = os.path.join(folder, ".git", "HEAD")
+    if not os.path.isfile(head):
+        return None, None
+    with open(head) as f:
+        at = f.read().strip()
+    if not at.startswith("ref: "):
+        return at[:7], None
+    ref, branch = at[5:], at.rsplit("/", 1)[-1]
+    loose, packed = os.path.join(folder, ".git", ref), os.path.join(folder, ".git", "packed-refs")
+    if os.path.isfile(loose):
+        with open(loose) as f:
+            return f.read().strip()[:7], branch
+    if os.path.isfile(packed):
+        with open(packed) as f:
+            return next((x.split()[0][:7] for x in f if x.strip().endswith(" " + ref)), None), branch
+    return None, branch
+
+
+def build_information(spark: SparkSession, user: str, tool: str, repo: str) -> DataFrame:
+    """One row: who builds, the revisions of the tool's and the texts' folders, and the time."""
+    pairs = [F.struct(F.lit(h).cast("string").alias("hash"), F.lit(b).cast("string").alias("branch")) for h, b in (revision(tool), revision(repo))]
+    return spark.range(1).select(F.lit(user).alias("user"), pairs[0].alias("tool"), pairs[1].alias("repo"), F.current_timestamp().alias("timestamp"))
