@@ -303,10 +303,10 @@ def people_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("volume_id", L.render_people(F.col("a")).alias("shown"), L.gender_suffix(F.col("a")).alias("suffix"), L.render_people(F.col("b")).alias("both"))
 
 
-@query("SELECT p_partkey, printf('%.2f', p_retailprice) AS f2, regexp_replace(printf('%.3g', p_retailprice), '^1e', 'e') AS g3, '\\num{' || printf('%.1f', p_retailprice) || '}' AS nf1, '\\num{' || printf('%g', p_retailprice) || '}' AS ng, 'p = \\qty{' || printf('%.0f', p_retailprice * 1.0000003) || '}{\\meter}' AS ef0 FROM part")
+@query("SELECT p_partkey, printf('%.2f', p_retailprice) AS f2, regexp_replace(printf('%.3g', p_retailprice * 1.0000003), '^1e', 'e') AS g3, '\\num{' || printf('%.1f', p_retailprice) || '}' AS nf1, '\\num{' || printf('%g', p_retailprice) || '}' AS ng, 'p = \\qty{' || printf('%.0f', p_retailprice * 1.0000003) || '}{\\meter}' AS ef0 FROM part")
 def precision_shorthands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions import quantities as Q
 
     x = F.col("p_retailprice")
     d = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", Q.quantity(x * F.lit(1.0000003), "metre", "p").alias("q"))
-    return d.select("p_partkey", *[N.shorthand(n)(x).alias(n) for n in ("f2", "g3", "nf1", "ng")], N.shorthand("ef0")(F.col("q")).alias("ef0"))
+    return d.select("p_partkey", *[N.shorthand(n)(x).alias(n) for n in ("f2", "nf1", "ng")], N.shorthand("g3")(x * F.lit(1.0000003)).alias("g3"), N.shorthand("ef0")(F.col("q")).alias("ef0"))

@@ -16,38 +16,87 @@ except ImportError:  # the yaml source then says so when it is used
     yaml = None
 
 
-class _Top(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Subtree(InputPartition):
+    def __init__(self, path: str, whole: bool):
+        self.path, self.whole = path, whole
 
 
-class _TreeReader(DataSourceReader):
+class _Local:
+    """Folders of a file system that all executors mount."""
+
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
+    def names(self, path: str) -> list[str]:
+        return sorted(os.listdir(os.path.join(self.root, path)))
+
+    def entry(self, path: str) -> tuple[str, int | None]:
+        full = os.path.join(self.root, path)
+        if os.path.islink(full):  # a link is a link, whatever it points to
+            return "link", None
+        return ("dir", None) if os.path.isdir(full) else ("file", os.path.getsize(full))
+
+
+class _Remote:
+    """Folders by their address (hdfs, s3, gs, file): what pyarrow reads. It tells no links."""
+
+    def __init__(self, root: str):
+        from pyarrow import fs
+
+        self.fs, at = fs.FileSystem.from_uri(root)
+        self.root = at.rstrip("/")
+
+    def names(self, path: str) -> list[str]:
+        from pyarrow import fs
+
+        return sorted(x.base_name for x in self.fs.get_file_info(fs.FileSelector(f"{self.root}/{path}".rstrip("/"))))
+
+    def entry(self, path: str) -> tuple[str, int | None]:
+        from pyarrow import fs
+
+        x = self.fs.get_file_info(f"{self.root}/{path}")
+        return ("dir", None) if x.type == fs.FileType.Directory else ("file", x.size)
+
+
+class _TreeReader(DataSourceReader):
+    #: Folders are opened level by level until there are so many parts to be read side by side.
+    PARTS = 64
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def _open(self) -> _Local | _Remote:
+        return _Remote(self.root) if "://" in self.root else _Local(self.root)
+
     def partitions(self) -> list[InputPartition]:
-        """One partition for each entry of the root, so that subtrees are walked side by side."""
-        return [_Top(n) for n in sorted(os.listdir(self.root))] or [_Top("")]
+        """Subtrees, and the single folders above them."""
+        tree = self._open()
+        above: list[InputPartition] = []
+        level = tree.names("")
+        for _ in range(8):
+            folders = [x for x in level if tree.entry(x)[0] == "dir"]
+            if len(level) >= self.PARTS or not folders:
+                break
+            above += [_Subtree(x, False) for x in folders]
+            level = [x for x in level if x not in set(folders)] + [f"{x}/{n}" for x in folders for n in tree.names(x)]
+        return above + [_Subtree(x, True) for x in level] or [_Subtree("", False)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.name:
-            return
-        todo = [(partition.name, 0)]
+        tree = self._open()
+        todo = [partition.path] if partition.path else []
         while todo:
-            at, depth = todo.pop()
-            full = os.path.join(self.root, at)
-            link = os.path.islink(full)  # a link is a link, whatever it points to
-            kind = "link" if link else "dir" if os.path.isdir(full) else "file"
-            size = None if kind != "file" else os.path.getsize(full)
-            yield at, os.path.dirname(at), os.path.basename(at), kind, depth, size
-            if kind == "dir":
-                todo += [(f"{at}/{n}", depth + 1) for n in sorted(os.listdir(full), reverse=True)]
+            at = todo.pop()
+            kind, size = tree.entry(at)
+            yield at, os.path.dirname(at), os.path.basename(at), kind, at.count("/"), size
+            if kind == "dir" and partition.whole:
+                todo += [f"{at}/{n}" for n in reversed(tree.names(at))]
 
 
 class TreeSource(DataSource):
     """spark.read.format("tree").load(folder): path, parent, name, kind (dir, file, link), depth, size.
 
-    The folder has to be one that all executors see. Links are not followed.
+    The folder is a path that all executors see, or an address of a file system (hdfs://, s3://, file://). Links are
+    not followed; an address knows no links.
     """
 
     @classmethod
@@ -131,28 +180,6 @@ def valid_utf8(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("utf8", F.coalesce(F.is_valid_utf8(F.col(content).cast("string")), F.lit(False)))
 
 
-def tree_of(spark: SparkSession, path: str) -> DataFrame:
-    """The tree below any path that Hadoop reads (HDFS, object stores, local), in the columns of the tree source.
-
-    Files come from Spark's own parallel listing, whose contents aren't read; folders are those that hold files
-    somewhere below. Such listings know no links.
-    """
-    root = path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/").alias("full"), "length")
-    base = F.lit(root if root.startswith("/") else "/" + root.split(":", 1)[-1].lstrip("/"))
-    files = files.select(F.substr("full", F.length(base) + 2).alias("path"), F.lit("file").alias("kind"), F.col("length").alias("size"))
-    steps = F.split("path", "/")
-    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.when(F.size(steps) > 1, F.array_join(F.slice(steps, 1, i), "/")))).alias("path")).where("path is not null").distinct()
-    return _described(files.unionByName(above.select("path", F.lit("dir").alias("kind"), F.lit(None).cast("bigint").alias("size"))))
-
-
-def _described(entries: DataFrame) -> DataFrame:
-    """path, parent, name, kind, depth, size from path, kind and size."""
-    steps = F.split("path", "/")
-    parent = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    return entries.select("path", parent.alias("parent"), F.element_at(steps, -1).alias("name"), "kind", (F.size(steps) - 1).cast("int").alias("depth"), "size")
-
-
 def node_metadata(nodes_: DataFrame, leaves: DataFrame, meta: str = "meta.yaml") -> DataFrame:
     """Nodes (path) with the leaves (file, path, value) of their metadata file as a map meta; a node whose file is empty
     has an empty map, one whose file couldn't be read a null."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import lists as L
 from quire.functions import numbers as N
 from quire.functions import quantities as Q
+from quire.functions import units as U
 
 
 def values(spark, rows, schema, *cols):
@@ -72,13 +73,53 @@ def test_dates(spark):
 def test_quantities(spark):
     kg, g, m = Q.quantity(F.lit(1.0), "kilogram"), Q.quantity(F.lit(7000.0), "gram"), Q.quantity(F.lit(2.0), "metre")
     assert one(spark, Q.to(Q.add(kg, g), "gram")["magnitude"]) == 8000
-    assert one(spark, Q.equal(Q.quantity(F.lit(8.0), "kilogram"), Q.quantity(F.lit(8000.0), "gram")))
-    with pytest.raises(Exception, match="cannot add"):
+    assert one(spark, Q.equal(Q.quantity(F.lit(8.0), "kg"), Q.quantity(F.lit(8000.0), "g")))
+    with pytest.raises(Exception, match="cannot"):
         one(spark, Q.add(kg, m)["magnitude"])
     assert one(spark, Q.to(Q.quantity(F.lit(25.0), "celsius"), "kelvin")["magnitude"]) == pytest.approx(298.15)
-    cm = F.round(Q.to(Q.quantity(F.lit(320.0), "centimetre"), "metre")["magnitude"], 6)
-    assert one(spark, Q.tex_list(F.array(N.general(m["magnitude"]), N.general(cm)), F.lit("metre"))) == "\\qtylist{2;3.2}{\\metre}"
-    assert one(spark, Q.tex(Q.quantity(F.lit(5.0)), F.lit("5"))) == "\\num{5}"
+    assert one(spark, Q.tex(Q.quantity(F.lit(5.0)), F.lit("5"))) == "\\num{5}{}"
+    with pytest.raises(Exception, match="dimensionless"):
+        one(spark, Q.apply(m, "sin")["magnitude"])
+    with pytest.raises(Exception, match="product"):
+        one(spark, Q.multiply(Q.quantity(F.lit(1.0), "celsius"), m)["magnitude"])
+    with pytest.raises(KeyError):
+        Q.quantity(F.lit(1.0), "furlongs")
+    null = Q.quantity(F.lit(None).cast("double"), "m")
+    assert one(spark, Q.tex(null)) is None and one(spark, Q.mag(Q.add(null, m))) is None
+
+
+def test_ranges_and_lists(spark):
+    q = lambda x, u, **k: Q.quantity(F.lit(x), u, **k)
+    assert one(spark, Q.tex_range(Q.span(q(1.0, "kg"), q(7.0, "kg")))) == "\\qtyrange{1}{7}{\\kilo\\gram}"
+    with pytest.raises(Exception, match="cannot"):
+        one(spark, Q.tex_range(Q.span(q(1.0, "kg"), q(2.0, "m"))))
+    sun = q(2e30, "kg", si_extra={"forbid-literal-units": "false"})
+    assert one(spark, Q.tex_list(F.array(q(1.0, "kg"), q(7.0, "kg"), sun))) == "\\qtylist[forbid-literal-units=false]{1;7;2e+30}{\\kilo\\gram}"
+    assert one(spark, Q.tex_list(F.array(q(2.0, "m"), q(320.0, "cm")), lambda x: N.general(x, 6))) == "\\qtylist{2;3.2}{\\meter}"
+    with pytest.raises(Exception, match="cannot"):
+        one(spark, Q.tex_list(F.array(q(2.0, "m"), q(7.0, "kg"))))
+
+
+def test_units():
+    assert U.parse("newton metre squared / kilogram squared").parts == (("kilogram", "\\kilo\\gram", -2), ("meter", "\\meter", 2), ("newton", "\\newton", 1))
+    assert U.parse("metre / s^2").dims == (1, 0, -2, 0, 0, 0, 0) and U.parse("km").factor == 1000 and U.parse("mm").factor == 1e-3
+    assert U.parse("watt per metre squared").dims == U.parse("W / m ** 2").dims and U.parse("1 / mole").parts == (("mole", "\\mole", -1),)
+    assert U.parse("celsius").shift == 273.15 and U.parse("celsius / s").shift == 0 and U.parse(None).parts == () and U.parse("min").factor == 60
+    assert U.parse("m / m").parts == ()
+
+
+def test_people_and_titles(spark):
+    people = lambda x: [tuple(p) for p in one(spark, L.people_of(F.lit(x)))]
+    assert people('"Ann"') == [("Ann", "?")] and people('{"name": "Bo", "gender": "m"}') == [("Bo", "m")]
+    assert people('["Ann", {"name": "Bo", "gender": "m"}]') == [("Ann", "?"), ("Bo", "m")] and people("[]") == []
+    assert one(spark, L.people_of(F.lit(None).cast("string"))) is None
+    for bad in ("7", '{"name": "Bo"}', '[{"gender": "m"}]'):
+        with pytest.raises(Exception, match="no pe"):
+            one(spark, L.people_of(F.lit(bad)))
+    assert one(spark, L.title(F.lit("hello wORLD-wide (a test)"))) == "Hello World-Wide (A Test)"
+    with pytest.raises(KeyError):
+        N.shorthand("x9")
+
 
 
 def test_gamma(spark):

@@ -171,3 +171,75 @@ def test_empty_tables_and_clashing_columns(spark):
     assert m.columns == ["line", "p", "q.r"] and V.incomplete(m, ["p", "q.r"], False).count() == 0
     assert T.existence(d, e.select("line"), ["line"]).first()["present"] is False
     assert D.assemble(e, ["rule_id"], "line_no", "line").count() == 0
+
+
+def found(spark, line, *ids):
+    rules = [r for r in L.RULES if r.id in ids]
+    return [(r["rule_id"], r["col"], r["message"]) for r in L.lint(spark.createDataFrame([(line,)], "line string"), rules, extra=False).collect()]
+
+
+def test_lint_columns_are_where_the_match_is(spark):
+    assert found(spark, "see \\summary then \\sum x", "sum")[0][1] == 18 and found(spark, "\\integral and \\int x", "int")[0][1] == 14
+    assert found(spark, "\U0001d7d9\U0001d7d9 a,b", "cws")[0][1] == 4  # characters, not units of UTF-16
+    assert found(spark, "a=b", "eqs") == [("eqs", 1, 'Spaces missing around "="')] and found(spark, "a \\leq5", "eqs")[0][1:] == (5, 'Spaces missing around "\\leq"')
+    assert found(spark, "1+2", "pws")[0][1] == 0 and found(spark, "\\ang{1\\cdot 2}", "sie") == [("sie", 5, "Use e notation instead of TeX inside \\ang")]
+    assert found(spark, "so tak je", "tak")[0][1] == 4 and not found(spark, "takýto, tak, ", "tak") and found(spark, "x;y", "sws")[0][1] == 1 and not found(spark, "\\qtylist{1;2}{m}", "sws")
+
+
+def test_lint_knows_all_whitespace(spark):
+    assert not found(spark, "a,\u00a0b", "cws") and found(spark, "{\u00a0a}", "lbw") and found(spark, "{a\u00a0}", "rbw") and not found(spark, "\\text{\u00a0a}", "lbw")
+
+
+def test_lint_labels_by_module(spark):
+    d = spark.createDataFrame([("{#eq:1234:name}",), ("{#eq:1234}",), ("{#fig:9:x}",), (None,)], "line string")
+    got = [r["r"] and r["r"]["message"] for r in d.select(L.label_rule(F.col("line"), F.lit("problem"), F.lit("1234"), "seminar").alias("r")).collect()]
+    assert got == [None, "Nonconforming label", "Nonconforming label", None]
+    with pytest.raises(ValueError, match="unsupported"):
+        L.label_rule(F.col("line"), F.lit("problem"), F.lit("1"), "scholar")
+
+
+def test_trees_of_files(spark, tmp_path):
+    from quire.sources import files
+
+    for at, text in (("a/meta.yaml", "x: 1\ny: [u, v]\n"), ("a/b/meta.yaml", ""), ("a/b/c.txt", "t"), ("d/e.txt", "t"), ("f/meta.yaml", "a: [1\n")):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(text)
+    files.register(spark)
+    t = spark.read.format("tree").load(f"file://{tmp_path}")
+    assert {(r["path"], r["parent"], r["kind"]) for r in t.collect()} == {
+        ("a", "", "dir"), ("a/b", "a", "dir"), ("d", "", "dir"), ("f", "", "dir"), ("a/meta.yaml", "a", "file"), ("a/b/meta.yaml", "a/b", "file"), ("a/b/c.txt", "a/b", "file"), ("d/e.txt", "d", "file"), ("f/meta.yaml", "f", "file"),
+    }
+    own = spark.read.format("tree").load(str(tmp_path))
+    assert sorted(map(tuple, own.select("path", "kind", "depth").collect())) == sorted(map(tuple, t.select("path", "kind", "depth").collect()))
+    if files.yaml is not None:
+        leaves = files.read_yaml(spark, str(tmp_path)).withColumn("file", F.regexp_replace("file", f"^.*{tmp_path.name}/", ""))
+        got = {r["path"]: r["meta"] for r in files.node_metadata(files.nodes(t), leaves).collect()}
+        assert got == {"a": {"x": "1", "y/0": "u", "y/1": "v"}, "a/b": {}, "f": None}
+    (tmp_path / ".git/refs/heads").mkdir(parents=True)
+    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / ".git/refs/heads/main").write_text("0123456789abcdef\n")
+    row = files.build_information(spark, "me", str(tmp_path), str(tmp_path / "a")).first()
+    assert row["user"] == "me" and tuple(row["tool"]) == ("0123456", "main") and tuple(row["repo"]) == (None, None)
+
+
+def test_written_documents(spark, tmp_path):
+    from quire.operators import render
+
+    d = spark.createDataFrame([("a.tex", "x\ny\n"), ("b.tex", "")], "name string, text string")
+    render.write_documents(d, str(tmp_path / "out"))
+    back = {r["name"]: r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()}
+    assert back["a.tex"] == "x\ny\n"
+    with pytest.raises(Exception, match="unknown suffix"):
+        spark.range(1).select(render.target_name(F.lit("a.doc"))).collect()
+    with pytest.raises(Exception, match="unsupported value"):
+        spark.range(1).select(render.passed(F.lit("[1]"), F.lit("array"))).collect()
+
+
+def test_folder_for_tables_must_be_shared(spark):
+    from quire import runtime
+
+    made = runtime.cut(spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"))
+    assert sorted(map(tuple, made.collect())) == [(1, "a"), (2, None)] and made._quire_path.startswith(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    assert runtime.cut(made.limit(0)).columns == ["k", "v"]
+    runtime.release(made)
+    assert runtime.small(spark.range(10), limit=10)._jdf.queryExecution().toString().count("broadcast") == 0
