@@ -171,7 +171,7 @@ def yaml_leaves(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def read_yaml(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
     """Leaves of all YAML files under a folder; the key is the file's path."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return yaml_leaves(whole.select(F.col("_metadata.file_path").alias("file"), "value"), "file", "value")
 
 

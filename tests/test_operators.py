@@ -201,7 +201,7 @@ def test_lint_labels_by_module(spark):
 def test_trees_of_files(spark, tmp_path):
     from quire.sources import files
 
-    for at, text in (("a/meta.yaml", "x: 1\ny: [u, v]\n"), ("a/b/meta.yaml", ""), ("a/b/c.txt", "t"), ("d/e.txt", "t"), ("f/meta.yaml", "a: [1\n")):
+    for at, text in (("a/meta.yaml", "x: 1\ny:\n    z: [u, v]\n"), ("a/b/meta.yaml", ""), ("a/b/c.txt", "t"), ("d/e.txt", "t"), ("f/meta.yaml", "a: [1\n")):
         (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / at).write_text(text)
     files.register(spark)
@@ -214,7 +214,7 @@ def test_trees_of_files(spark, tmp_path):
     if files.yaml is not None:
         leaves = files.read_yaml(spark, str(tmp_path)).withColumn("file", F.regexp_replace("file", f"^.*{tmp_path.name}/", ""))
         got = {r["path"]: r["meta"] for r in files.node_metadata(files.nodes(t), leaves).collect()}
-        assert got == {"a": {"x": "1", "y/0": "u", "y/1": "v"}, "a/b": {}, "f": None}
+        assert got == {"a": {"x": "1", "y/z/0": "u", "y/z/1": "v"}, "a/b": {}, "f": None}
     (tmp_path / ".git/refs/heads").mkdir(parents=True)
     (tmp_path / ".git/HEAD").write_text("ref: refs/heads/main\n")
     (tmp_path / ".git/refs/heads/main").write_text("0123456789abcdef\n")
@@ -227,7 +227,7 @@ def test_written_documents(spark, tmp_path):
 
     d = spark.createDataFrame([("a.tex", "x\ny\n"), ("b.tex", "")], "name string, text string")
     render.write_documents(d, str(tmp_path / "out"))
-    back = {r["name"]: r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()}
+    back = {r["name"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
     assert back["a.tex"] == "x\ny\n"
     with pytest.raises(Exception, match="unknown suffix"):
         spark.range(1).select(render.target_name(F.lit("a.doc"))).collect()
