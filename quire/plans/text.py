@@ -286,7 +286,13 @@ def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_lines(doc_lines(spark, sf_dir), "doc_id")
 
 
-@query()
+_NEAR = [("'\"_'", "c || '_'"), (f"'\"([{_WORD}])'", "o || '\\1'"), (f"'([{_WORD}])\"'", "'\\1' || c"), (f"'([^{_WS}])\"'", "'\\1' || c"), (f"'\"([^{_WS}])'", "o || '\\1'")]
+_QUOTED = "regexp_replace(line, '[„“”«»]', '\"', 'g')"
+for _mark, _new in _NEAR:
+    _QUOTED = f"regexp_replace({_QUOTED}, {_mark}, {_new}, 'g')"
+
+
+@query(f"SELECT doc_id, line_no, {_QUOTED} AS line FROM (SELECT d.doc_id, d.line_no, d.line, l.quotes.open_mark AS o, l.quotes.close_mark AS c FROM ({DOC_LINES}) d JOIN locales l ON l.id = d.lang)")
 def quotes_localised(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "locales").select(F.col("id").alias("lang"), F.col("quotes.open_mark").alias("o"), F.col("quotes.close_mark").alias("c"))
     plain = F.regexp_replace("line", "[„“”«»]", '"')
