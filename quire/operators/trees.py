@@ -72,3 +72,44 @@ def print_tree(path: Column) -> Column:
     """A path's last segment, indented by four spaces a level."""
     depth = F.size(F.split(path, "/")) - 1
     return F.concat(F.repeat(F.lit("    "), depth), F.substring_index(path, "/", -1))
+
+
+def adopt(data: Column, key: str, child: Column) -> Column:
+    """A map of maps with a child's map under a key: put there, or merged on one level into what is there, the child's
+    values first. Null maps count as empty."""
+    d = F.coalesce(data, F.create_map().cast("map<string,map<string,string>>"))
+    others = F.map_filter(d, lambda k, _: k != key)
+    return F.map_concat(others, F.create_map(F.lit(key), merge_maps(d[key], child)))
+
+
+def catalogue(leaves: DataFrame, defaults: str = "default") -> DataFrame:
+    """Each two-letter document (file, path, value) merged deeply over the default one; documents of other names are
+    none. A default leaf counts where the document has none at its path; a null value counts as one."""
+    two = leaves.where(F.rlike("file", F.lit("^[a-z]{2}$")))
+    base = leaves.where(F.col("file") == defaults).select("path", "value")
+    # the defaults are one document: one row of its leaves, which every file is joined with by the document's name
+    whole = base.groupBy(F.lit(defaults).alias("_of")).agg(F.collect_list(F.struct("path", "value")).alias("_b"))
+    left = two.select("file").distinct().withColumn("_of", F.lit(defaults)).join(whole, "_of").select("file", F.explode("_b").alias("x")).select("file", "x.*")
+    return merge_deep(left, two, ["file"])
+
+
+def stale(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """Targets that have to be made again: not there yet, older than a source, or made from such a target, to the end.
+
+    edges: target, source; times: node, at (null or absent: not there). Each round joins the targets found last with
+    the edges once more; there are as many rounds as the longest chain is long. Cycles end.
+    """
+    from quire.runtime import cut, release
+
+    at = times.groupBy("node").agg(F.max("at").alias("at"))
+    e = edges.select("target", "source").distinct()
+    t = e.join(at.withColumnRenamed("node", "target").withColumnRenamed("at", "_t"), "target", "left").join(at.withColumnRenamed("node", "source").withColumnRenamed("at", "_s"), "source", "left")
+    found = cut(t.where("_t is null or _s > _t").select("target").distinct())
+    new = found
+    while new.take(1):
+        more = e.join(new.select(F.col("target").alias("source")), "source", "left_semi").select("target").distinct().join(found, "target", "left_anti")
+        new = cut(more)
+        both = cut(found.union(new))
+        release(found)
+        found = both
+    return found

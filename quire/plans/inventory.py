@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import lists as L
 from quire.functions import numbers as N
-from quire.operators import numbering, render
+from quire.operators import numbering, render, trees
 from quire.operators import rewrite as R
 from quire.operators import validate as V
 from quire.plans.catalogue import query
 from quire.plans.text import DOC_LINES, doc_lines, replaced_sql, sql_text
 from quire.runtime import table
-from quire.sources import files
+from quire.sources import files, schemas
 
 # ---- rewrites and their checks, on lines that reach every rule
 
@@ -181,6 +181,76 @@ def schema_combinators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "venues").select("venue_id", "updated_at", V.not_empty(c("id")).alias("has_id"), V.absent(c("code")).alias("no_code"), number.alias("small_number"), named.alias("all_orgs"), V.literal(c("lang"), "sk", "cs").alias("home"))
 
 
+_VENUE = "SELECT DISTINCT venue_id, id, CASE WHEN venue_id % 3 = 0 THEN upper(left(regexp_replace(code || 'AAAAA', '[^A-Za-z]', 'A', 'g'), 5)) ELSE code END AS code, name, lang, orgs, evaluators, start_minute FROM venues"
+_VENUE_RULES = {
+    "id": "length(id) > 0", "code": "regexp_full_match(code, '[A-Z]{5}')", "name": "length(name) > 0", "language": f"lang IN ({_LANGS})", "orgs": "orgs IS NULL OR len(list_filter(orgs, lambda x: x IS NULL OR length(x) = 0)) = 0", "evaluators": "evaluators IS NOT NULL", "start": "start_minute BETWEEN 0 AND 1439",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT venue_id, '{n}' AS rule FROM ({_VENUE}) WHERE NOT coalesce({c}, false)" for n, c in _VENUE_RULES.items()))
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues as JSON documents, read by their schema and held against its rules."""
+    v = table(spark, sf_dir, "venues")
+    code = F.when(F.col("venue_id") % 3 == 0, F.upper(F.left(F.regexp_replace(F.concat("code", F.lit("AAAAA")), "[^A-Za-z]", "A"), F.lit(5)))).otherwise(F.col("code"))
+    doc = F.to_json(F.struct("id", code.alias("code"), "name", F.col("lang").alias("language"), "orgs", "evaluators", F.col("start_minute").alias("start")))
+    d = schemas.parse(v.select("venue_id", doc.alias("json")).distinct(), "json", "contest_venue", strict=True)
+    return schemas.invalid(d, "contest_venue", ["venue_id"])
+
+
+@query(
+    f"WITH l AS (SELECT DISTINCT language_id, id, name, rtl, booklet, translators FROM languages) SELECT language_id, coalesce(len(translators), 0)::INT AS translators, rule FROM (SELECT *, unnest(list_filter([CASE WHEN NOT coalesce(id IN ({_LANGS}), false) THEN 'id' END, CASE WHEN name IS NULL THEN 'name' END, CASE WHEN rtl IS NULL THEN 'rtl' END], lambda x: x IS NOT NULL)) AS rule FROM l)"
+)
+def document_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as documents: a missing list of translators counts as empty."""
+    v = table(spark, sf_dir, "languages")
+    doc = F.to_json(F.struct("id", "name", "rtl", "booklet", "translators"))
+    d = schemas.with_defaults(schemas.parse(v.select("language_id", doc.alias("json")).distinct(), "json", "contest_language"), "contest_language")
+    return schemas.invalid(d.withColumn("translators", F.size("document.translators")), "contest_language", ["language_id", "translators"])
+
+
+@query(
+    "WITH f AS (SELECT id AS file, 'quotes/open' AS path, quotes.open_mark AS value FROM locales WHERE locale_no % 2 = 0 UNION ALL SELECT id, 'full', full_name FROM locales) SELECT l.id AS file, p.path, CASE WHEN p.path = 'full' THEN l.full_name WHEN p.path = 'quotes/open' AND l.locale_no % 2 = 0 THEN l.quotes.open_mark ELSE p.value END AS value "
+    "FROM locales l, (VALUES ('full', 'english'), ('quotes/open', '\"'), ('rtl', 'false')) AS p(path, value)"
+)
+def locale_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locales' documents over the defaults; a document that isn't named by two letters is left out."""
+    l = table(spark, sf_dir, "locales")
+    own = l.select(F.col("id").alias("file"), F.lit("full").alias("path"), F.col("full_name").alias("value")).unionByName(l.where("locale_no % 2 = 0").select(F.col("id").alias("file"), F.lit("quotes/open").alias("path"), F.col("quotes.open_mark").alias("value")))
+    rest = spark.createDataFrame([("default", "full", "english"), ("default", "quotes/open", '"'), ("default", "rtl", "false"), ("extra", "full", "none")], "file string, path string, value string")
+    return trees.catalogue(own.unionByName(rest)).select("file", "path", "value")
+
+
+@query("SELECT volume_id, 'id=' || id || ',number=' || (volume_no + 1) || ',start=' || start_minute AS volume, 'head=' || coalesce(workshop, '-') AS other FROM (SELECT DISTINCT volume_id, id, volume_no, start_minute, workshop FROM volumes)")
+def adopted_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context that takes in two others: one under a key it has, one under a new key."""
+    d = table(spark, sf_dir, "volumes").select("volume_id", "id", "volume_no", "start_minute", "workshop").distinct()
+    text = lambda c: F.col(c).cast("string")
+    own = F.create_map(F.lit("volume"), F.create_map(F.lit("id"), text("id"), F.lit("number"), text("volume_no")))
+    both = trees.adopt(trees.adopt(own, "volume", F.create_map(F.lit("number"), (F.col("volume_no") + 1).cast("string"), F.lit("start"), text("start_minute"))), "other", F.create_map(F.lit("head"), F.coalesce("workshop", F.lit("-"))))
+    shown = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return d.select("volume_id", both.alias("m")).select("volume_id", shown(F.col("m")["volume"]).alias("volume"), shown(F.col("m")["other"]).alias("other"))
+
+
+_EDGES = "SELECT DISTINCT 'p' || volume_id || '/' || problem_id AS target, 'f' || file_id AS source FROM problem_files UNION SELECT DISTINCT 'v' || volume_id, 'p' || volume_id || '/' || problem_id FROM problem_files UNION SELECT DISTINCT 'all' || (volume_id % 7), 'v' || volume_id FROM problem_files"
+_TIMES = "SELECT 'f' || file_id AS node, max(committed_at) AS at FROM problem_files GROUP BY 1 UNION ALL SELECT 'p' || volume_id || '/' || problem_id, max(committed_at) - INTERVAL (CASE WHEN volume_id % 2 = 0 THEN 1 ELSE 0 END) DAY FROM problem_files GROUP BY volume_id, problem_id UNION ALL SELECT 'v' || volume_id, max(committed_at) + INTERVAL 1 DAY FROM problem_files GROUP BY volume_id UNION ALL SELECT 'all' || (volume_id % 7), max(committed_at) + INTERVAL 2 DAY FROM problem_files GROUP BY volume_id % 7"
+
+
+@query(
+    f"WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), t AS MATERIALIZED ({_TIMES}), s AS (SELECT e.target FROM e LEFT JOIN t a ON a.node = e.target LEFT JOIN t b ON b.node = e.source WHERE a.at IS NULL OR b.at > a.at UNION SELECT e.target FROM e JOIN s ON s.target = e.source) SELECT DISTINCT target FROM s"
+)
+def stale_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems made from files, volumes from problems, collections from volumes: what is stale, to the end."""
+    f = table(spark, sf_dir, "problem_files").select("file_id", "volume_id", "problem_id", "committed_at")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    v, at = F.col("volume_id"), F.col("committed_at")
+    file, problem, volume, every = text("f", F.col("file_id").cast("string")), text("p", v.cast("string"), "/", F.col("problem_id")), text("v", v.cast("string")), text("all", (v % 7).cast("string"))
+    links = F.array(*[F.struct(a.alias("target"), b.alias("source")) for a, b in ((problem, file), (volume, problem), (every, volume))])
+    day = F.expr("INTERVAL 1 DAY")
+    made = F.array(*[F.struct(n.alias("node"), x.alias("at")) for n, x in ((file, at), (problem, F.when(v % 2 == 0, at - day).otherwise(at)), (volume, at + day), (every, at + day + day))])
+    edges = f.select(F.explode(links).alias("x")).select("x.*").distinct()
+    return trees.stale(edges, f.select(F.explode(made).alias("x")).select("x.*").groupBy("node").agg(F.max("at").alias("at")))
+
+
 # ---- templates
 
 _BLOCKS = ("title", "body", "foot")
