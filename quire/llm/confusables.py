@@ -18,6 +18,8 @@ from quire.runtime import ship, spread
 LOOK_ALIKE_LETTERS = {
     "Cyrillic": ("АВЕЗКМНОРСТУХІЈЅҮԌԚԜӀасеорухіјѕһԁԛԝүѵӏ", "ABE3KMHOPCTYXIJSYGQWIaceopyxijshdqwyvl"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϺͿονϳϲ", "ABEZHIKMNOPTYXFCMJovjc"),
+    "Coptic": ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEHIKMNOPCTYXopc"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏚᏙᎳᏃ", "ABCDEHJKLMPSVWZ"),
     "Armenian": ("ՕՏՍհոսօզյց", "OSUhnuoqjg"),
     "Latin": ("ɑɡɩʏꓲ", "agıyI"),
 }

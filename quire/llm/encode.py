@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.lines import chunks
 from quire.runtime import ship, spread
 
 #: Distinct pieces whose ids a Python worker remembers. Memory only: a piece beyond it is encoded anew.
@@ -143,7 +144,7 @@ def vocabulary(path: str) -> ByteBpe:
 def _run(path: str, count: bool, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for b in batches:
+        for b in (part for whole in batches for part in chunks(whole, keys, 10_000)):
             flat, ends = array("i"), array("i", [0])
             for t in b.column(keys).to_pylist():
                 if t:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -69,19 +70,26 @@ def plan(sized: DataFrame, targets: DataFrame) -> list[Share]:
     return sorted((Share(s, w or 0.0, supply.get(s, 0), granted[s], late[s]) for s, w, _ in asked), key=lambda x: x.source)
 
 
-def place(sized: DataFrame, shares: list[Share], buckets: int = 512, seed: int = 17) -> DataFrame:
+#: Documents that a bucket of the running sums holds, on average.
+BUCKET = 65_536
+
+
+def place(sized: DataFrame, shares: list[Share], buckets: int | None = None, seed: int = 17) -> DataFrame:
     """Columns doc_id, source, copy, n_tokens, position: each use of a document with its place in [0, 1).
 
     The documents of a source, in random but fixed order, form a tape of tokens that is run through once
     for each repeat; a use counts if its middle lies within the source's grant. Its position is the time at
     which the integral of the source's weight reaches that middle. The running sums are made in two
     steps, over buckets of a source and within them, so that a source with a third of all rows is spread
-    over that many tasks. Documents without tokens are not used.
+    over that many tasks. A bucket is a range of the hash that orders the tape, so their number (a power of two, by
+    default one for BUCKET documents) changes nothing in the result. Documents without tokens are not used.
     """
     spark = sized.sparkSession
     known = spark.createDataFrame([(x.source, float(x.supply), x.grant, x.tilt) for x in shares if x.grant > 0 and x.supply > 0] or [("", 0.0, 0.0, 0.0)], "source string, supply double, granted double, tilt double")
     d = sized.where("n_tokens > 0 and source is not null").select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
-    d = d.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    bits = max(1, math.ceil(math.log2(max(2, sized.count() / BUCKET if buckets is None else buckets))))
+    # (the top bits of the hash; within a bucket they are equal, so the rest is in the same order signed or not)
+    d = d.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
     ahead = d.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_sum"))
     ahead = ahead.withColumn("_ahead", F.sum("_sum").over(Window.partitionBy("source").orderBy("_b")) - F.col("_sum")).drop("_sum")
     inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -30,3 +30,11 @@ def test_mix(spark):
     # the source of smaller documents on the whole comes earlier, and the weights change with time
     assert M.mix(sized.limit(0), targets).count() == 0
     assert M.mix(sized, targets.limit(0)).count() == 0
+
+
+def test_buckets_change_nothing(spark):
+    rows = [(i, "a" if i % 3 else "b", 5 + i % 11) for i in range(2000)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    few, many = ([tuple(r) for r in M.mix(sized, targets, buckets=n).collect()] for n in (2, 64))
+    assert few == many
