@@ -63,26 +63,18 @@ def general(x: Column, digits: int | Column = 6) -> Column:
     """General notation as C's %g, without the extra one: scientific for exponents under -4 or from digits on, no
     trailing zeros. Null gives null, others than numbers nan and inf.
 
-    The number is formatted once, in scientific notation; its digits and exponent then make up either form, in
-    plain string functions of generated code.
+    Java's %g picks the notation by the same rule, but keeps zeros at the end; these are trimmed in plain string
+    functions. The formatted text is tested first of all, so generated code makes it once.
     """
     x = x.cast("double")
     if isinstance(digits, Column):
-        p = F.greatest(digits, F.lit(1))
-        sci = F.call_function("format_string", F.concat(F.lit("%."), (p - 1).cast("string"), F.lit("e")), x)
+        s = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(digits, F.lit(1)).cast("string"), F.lit("g")), x)
     else:
-        p = F.lit(max(1, digits))
-        sci = F.format_string(f"%.{max(1, digits) - 1}e", x)
-    below = F.startswith(sci, F.lit("-"))
-    tail = F.substring_index(sci, "e", -1)
-    e = F.when(F.rlike(tail, F.lit("^[+-]")), tail.cast("int"))
-    d = F.rtrim(F.translate(F.substring_index(sci, "e", 1), "-.", ""), F.lit("0"))  # valid digits, without zeros at the end
-    rest = F.substring(d, 2, 1_000)
-    scientific = F.concat(F.when((d == "1") & ~below, "").otherwise(F.concat(F.left(d, F.lit(1)), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))), F.lit("e"), tail)
-    part = F.substr(d, e + 2, F.lit(1_000))
-    large = F.concat(F.rpad(F.left(d, e + 1), e + 1, F.lit("0")), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    shown = F.when(e.isNull(), F.lower(F.left(F.translate(sci, "-", ""), F.lit(3)))).when((e < -4) | (e >= p), scientific).when(d == "", "0").when(e >= 0, large).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
-    return F.concat(F.when(below & (d != ""), "-").otherwise(""), shown, F.when(x.isNotNull(), ""))
+        s = F.format_string(f"%.{max(1, digits)}g", x)
+    head, tail = F.substring_index(s, "e", 1), F.concat(F.lit("e"), F.substring_index(s, "e", -1))
+    trimmed = F.when(F.contains(head, F.lit(".")), F.rtrim(F.rtrim(head, F.lit("0")), F.lit("."))).otherwise(head)
+    shown = F.when(F.contains(s, F.lit("e")), F.concat(F.when(trimmed == "1", "").otherwise(trimmed), tail)).when(F.startswith(s, F.lit("N")), "nan").when(F.contains(s, F.lit("I")), F.replace(s, F.lit("Infinity"), F.lit("inf"))).when(x == 0, "0").otherwise(trimmed)
+    return F.concat(shown, F.when(x.isNotNull(), ""))
 
 
 def num(s: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +71,10 @@ RULES = (
     Rule("fra", r"\\frac\b", "Use \\dfrac in answers", kinds=("answer",)),
 )
 LONGEST_LINE = 120
-#: Text that a line must hold for a rule to match: a plain search that spares most lines the pattern.
-HINTS = {
+#: Text, or one of the texts, that a line must hold for a rule to match: a plain search that spares most lines the
+#: pattern.
+HINTS: dict[str, str | tuple[str, ...]] = {
+    "pas": ("(", ")"), "tws": "\t", "cmk": ("<<<<<<<", "=======", ">>>>>>>"), "eqs": ("=", "\\"), "sie": "{",
     "tab": "\t", "cws": ",", "sws": ";", "spb": "\\\\", "frb": "\\frac", "csi": "qty{", "osi": "\\SI", "cnu": "\\num{", "vep": "\\varepsilon", "crc": "\\circ", "lbw": "{", "rbw": "}", "mzm": "ôžme", "tht": "ohoto", "thc": "\\thinspace", "tjs": "t.j.", "pun": "\\text",
     "tgc": "\\", "sum": "\\sum", "int": "\\int", "imp": "\\implies", "rar": "\\Rightarrow", "txp": "\\text", "txs": "section", "txf": "\\footnote", "lip": "\\insertPicture", "opa": "{(", "cdt": "\\cdot", "pws": "+", "tak": "tak", "fra": "\\frac",
 }
@@ -89,28 +92,30 @@ def _struct(rule: str, severity: str, message: str | Column, col: Column) -> Col
     return F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), (message if isinstance(message, Column) else F.lit(message)).alias("message"), col.cast("int").alias("col"))
 
 
-#: Classes (\\s, \\w, \\b) take in all of Unicode, and only a newline ends a line.
-_FLAGS = "(?Ud)"
+def _flagged(pattern: str) -> str:
+    """Classes (\\s, \\w, \\b) take in all of Unicode, and only a newline ends a line."""
+    return ("(?Ud)" if re.search(r"\\[swb]", pattern) else "(?d)") + pattern
 
 
 def _found(line: Column, pattern: str) -> Column:
-    return F.rlike(line, F.lit(_FLAGS + pattern))
+    return F.rlike(line, F.lit(_flagged(pattern)))
 
 
 def _first(line: Column, pattern: str) -> Column:
     """Start of the first match in characters, 0-based: the length of the shortest text that a match follows."""
-    return F.length(F.regexp_extract(line, rf"{_FLAGS}^([\s\S]*?)(?:{pattern})", 1))
+    return F.length(F.regexp_extract(line, _flagged(rf"^([\s\S]*?)(?:{pattern})"), 1))
 
 
 def _match_rule(line: Column, r: Rule) -> Column:
     """A rule's finding, or null. Everything but the test itself is computed for lines with a finding only."""
     at, message = _first(line, r.pattern) + r.offset, r.message
     if r.behind:
-        text = F.regexp_extract(line, _FLAGS + r.pattern, r.shown)
+        text = F.regexp_extract(line, _flagged(r.pattern), r.shown)
         at, message = at + F.length(text), F.concat(*[text if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\})", r.message))])
     hit = _found(line, r.pattern)
     if r.id in HINTS:
-        hit = F.contains(line, F.lit(HINTS[r.id])) & hit
+        some = HINTS[r.id] if isinstance(HINTS[r.id], tuple) else (HINTS[r.id],)
+        hit = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in some]) & hit
     return F.when(hit, _struct(r.id, r.severity, message, at))
 
 
@@ -165,8 +170,8 @@ def file_rules(line: Column, kind: Column, node: Column) -> list[Column]:
     some = kind.isin("problem", "solution") & F.contains(line, F.lit("{")) & _found(line, r"\{-?[#@](?:eq|fig|sec):")
     empty = F.concat(mark, F.lit(r"\}"))
     longer = F.concat(mark, F.lit(r"\Q"), node, F.lit(r"\E"), F.when(kind == "problem", r"[^ ]\}").otherwise(r"[^:]\}"))
-    start = lambda p: F.length(F.call_function("regexp_extract", line, F.concat(F.lit(_FLAGS + r"^([\s\S]*?)(?:"), p, F.lit(")")), F.lit(1)))
-    test = lambda p: some & F.rlike(line, F.concat(F.lit(_FLAGS), p))
+    start = lambda p: F.length(F.call_function("regexp_extract", line, F.concat(F.lit(r"(?Ud)^([\s\S]*?)(?:"), p, F.lit(")")), F.lit(1)))
+    test = lambda p: some & F.rlike(line, F.concat(F.lit("(?Ud)"), p))
     lne = F.when(kind == "problem", "Non-empty label in problem").otherwise("Empty or mismatching label in solution")
     answer = [F.when(kind == "answer", _match_rule(line, r)) for r in RULES if r.kinds == ("answer",)]
     return [F.when(test(empty), _struct("lfn", "error", "Label does not match file name", start(empty))), F.when(test(longer), _struct("lne", "error", lne, start(longer))), *answer]

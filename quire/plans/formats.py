@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import lists as L
 from quire.functions import numbers as N
 from quire.plans.catalogue import query
-from quire.runtime import table
+from quire.runtime import spread, table
 
 
 def _digit(symbols: str, place: int) -> str:
@@ -79,13 +79,13 @@ _CUT = "regexp_replace({}, '^1(\\.?e[+-]?[0-9]+)', '\\1')"
 @query(f"SELECT l_orderkey, l_linenumber, {_CUT.format("printf('%.2f', x)")} AS f2, {_CUT.format("printf('%.0f', x)")} AS f0, {_CUT.format("printf('%.3f', x)")} AS f3 FROM (SELECT *, l_extendedprice * 1.41421356237::DOUBLE AS x FROM lineitem)")
 def format_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_extendedprice") * F.lit(1.41421356237)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[N.fixed(x, k).alias(f"f{k}") for k in (2, 0, 3)])
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")).select("l_orderkey", "l_linenumber", *[N.fixed(x, k).alias(f"f{k}") for k in (2, 0, 3)])
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {', '.join(f"{_CUT.format(f"printf('%.{k}g', x)")} AS g{k}" for k in (3, 6))}, '\\num{{' || {_CUT.format("printf('%.4g', x)")} || '}}' AS num FROM (SELECT *, l_extendedprice * pow(10, l_linenumber * 4 - 14) * 1.000013::DOUBLE AS x FROM lineitem)")
 def format_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber") * 4 - 14) * F.lit(1.000013)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.general(x, 3).alias("g3"), N.general(x, 6).alias("g6"), N.num(N.general(x, 4)).alias("num"))
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")).select("l_orderkey", "l_linenumber", N.general(x, 3).alias("g3"), N.general(x, 6).alias("g6"), N.num(N.general(x, 4)).alias("num"))
 
 
 @query("SELECT doc_id, CASE WHEN title IS NULL THEN NULL ELSE upper(left(title, 1)) || lower(title[2:]) END AS capitalised, lower(title) AS low, coalesce(nullif(title, ''), 'untitled') AS shown, length(coalesce(title, '')) AS size, left(title, 1) AS first, '\\textbf{' || title || '}' AS bold, left(title, 4) AS head, title[5:] AS tail FROM documents")
