@@ -171,7 +171,8 @@ class Network:
 
     def lines(self, texts: list[bytes], memo: dict[bytes, np.ndarray]) -> np.ndarray:
         """Log-probabilities of the languages for each line, known lines from the memory."""
-        new = list({t for t in texts if t not in memo})
+        known = {t: memo[t] for t in texts if t in memo}  # kept even if the memory is emptied below
+        new = [t for t in dict.fromkeys(texts) if t not in known]
         if new:
             x, owner = windows(new)
             s = self.scores(x)
@@ -188,8 +189,8 @@ class Network:
                 memo.clear()
             fresh = dict(zip(new, z.astype(np.float32)))
             memo.update(fresh)
-            return np.stack([memo[t] if t in memo else fresh[t] for t in texts])
-        return np.stack([memo[t] for t in texts]) if texts else np.zeros((0, len(self.langs)), np.float32)
+            known |= fresh
+        return np.stack([known[t] for t in texts]) if texts else np.zeros((0, len(self.langs)), np.float32)
 
 
 def train(df: DataFrame, key: str = "file_id", text: str = "content", lang: str = "lang") -> Network:

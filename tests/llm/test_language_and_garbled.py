@@ -53,6 +53,14 @@ def test_language_network_on_held_out_texts(spark, monkeypatch):
     assert L.detect(d.limit(0), L.train(d.limit(0))).count() == 0
 
 
+def test_a_full_memory_forgets_no_line_in_hand(monkeypatch):
+    monkeypatch.setattr(L, "MEMO", 3)
+    net, memo = L.Network(["de", "en"]), {}
+    net.lines([b"one", b"two"], memo)
+    got = net.lines([b"one", b"three", b"four", b"one"], memo)
+    assert np.allclose(got, net.lines([b"one", b"three", b"four", b"one"], {}), atol=1e-5)
+
+
 def garble(text, how):
     if how == "lost":
         return text.encode("ascii", "replace").decode()
