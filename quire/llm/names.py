@@ -74,30 +74,46 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def grams(word):  # noqa: ANN001, ANN201
-    """The q-grams of a word column with its borders marked, each with its number among equals."""
+    """The q-grams of a word column with its borders marked, each as gram and at (its place, from 0): as many as letters."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (Q - 1), F.lit(1))), lambda i: F.substring(padded, i, Q)))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(padded) - Q, F.lit(0))), lambda i: F.struct(F.substring(padded, i + 1, Q).alias("gram"), i.alias("at")))
 
 
 def similar_words(words: DataFrame) -> DataFrame:
     """Pairs a, b of words (column word) that are one typing slip apart: a letter too much, missing, other
     or swapped with another. Words of under four letters have no pairs (for these, see usage_nicknames).
 
-    A slip touches at most 4 of a word's q-grams (5 where letters are swapped). So if each word's q-grams are
-    put in order of rarity, two such words share one of the first 6 of each: only these are joined, together
-    with the length, which a slip changes by one at most.
+    A letter other, missing or too much touches at most Q of a word's q-grams; the others stay at their places, or move
+    by one behind a letter too much. So if each word's q-grams are put in order of rarity, two such words share two of
+    the first Q + 2 of each, at matching places (four letters against four: one): only words with two such q-grams, their
+    places and the length in common are joined. Swapped letters leave the sorted letters as they are.
     """
-    d = words.where(F.length("word") >= 4).select("word", F.explode(grams(F.col("word"))).alias("gram"))
+    d = words.where(F.length("word") >= 4).select("word", F.explode(grams(F.col("word"))).alias("g")).select("word", "g.gram", "g.at")
     often = d.groupBy("gram").agg(F.count("*").alias("often"))
-    # one row a word: its grams in order of rarity
-    ranked = d.join(often, "gram").groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "gram"))), 1, Q + 3).alias("first"))
-    first = ranked.select("word", F.length("word").alias("size"), F.explode("first.gram").alias("gram"))
-    left = first.select(F.col("word").alias("a"), "gram", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    pairs = left.join(first.withColumnRenamed("word", "b"), ["gram", "size"]).where("a < b").select("a", "b").distinct()
+    # one row a word: its grams in order of rarity, those of one kind by their places
+    ranked = d.join(often, "gram").groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))), 1, Q + 2).alias("first"))
+    ranked = cut(ranked.select("word", F.length("word").alias("size"), "first"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+
+    def keys(size, moves: list[tuple[int, int]]):  # noqa: ANN001, ANN202
+        """Two grams each, the places of the later one and of the earlier one moved by so much, and the length."""
+        x = F.filter(F.flatten(F.transform("first", lambda g: F.transform("first", lambda h: F.struct(g.alias("g"), h.alias("h"))))), lambda p: p["g"]["at"] < p["h"]["at"])
+        of = lambda p, i, k: F.xxhash64(size, p["g"]["gram"], p["g"]["at"] + i, p["h"]["gram"], p["h"]["at"] + k)
+        return F.flatten(F.transform(x, lambda p: F.array(*[of(p, i, k) for i, k in moves])))
+
+    one = F.when(F.col("size") == 4, F.transform("first", lambda g: F.xxhash64(F.lit("one"), g["gram"], g["at"]))).otherwise(F.array().cast("array<bigint>"))
+    same = F.concat(keys(F.col("size"), [(0, 0)]), one, F.array(F.xxhash64(F.lit("letters"), F.array_join(letters("word"), ""))))
+    keyed = cut(ranked.select("word", "size", F.explode(F.array_distinct(same)).alias("key")))
+    longer = ranked.select(F.col("word").alias("a"), F.explode(F.array_distinct(keys(F.col("size") + 1, [(0, 0), (0, 1), (1, 1)]))).alias("key"))
+    b = keyed.withColumnRenamed("word", "b")
+    level = keyed.select(F.col("word").alias("a"), "key", F.col("size").alias("a_size")).join(b, "key").where("a < b and a_size = size").select("a", "b")
+    uneven = longer.join(b, "key").where(F.col("size") == F.length("a") + 1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     gap = F.levenshtein("a", "b", 2)
     swapped = (gap == 2) & (F.length("a") == F.length("b")) & (letters("a") == letters("b"))
-    return pairs.where((gap == 1) | swapped)
+    # few that share a key are slips, so pairs are verified before they are made distinct
+    pairs = cut(level.unionByName(uneven).where((gap == 1) | swapped).distinct())
+    release(ranked, keyed)
+    return pairs
 
 
 def word_roots(words: DataFrame) -> DataFrame:
@@ -230,11 +246,12 @@ def entities(names: DataFrame, least: float = 0.9) -> DataFrame:
     (each an entity of its own). A shortened spelling that fits several entities equally well stays alone.
     """
     ship(names.sparkSession)
-    each = names.select("name").where("name is not null").distinct()
+    each = cut(names.select("name").where("name is not null").distinct())  # written, as spread would make it twice
     parsed = spread(each).mapInArrow(_parsed, "name string, words array<string>, short array<string>, numbers array<string>, nicks array<string>")
     blank = (F.size("words") == 0) & (F.size("short") == 0) & (F.size("numbers") == 0)
     text = lambda words: F.concat_ws("|", F.array_join(words, " "), F.array_join(F.array_sort("short"), " "), F.array_join(F.array_sort("numbers"), " "))
     parsed = cut(parsed.withColumn("form", F.xxhash64(F.when(blank, F.concat(F.lit("="), "name")).otherwise(text(F.col("words"))))))
+    release(each)
     forms = cut(parsed.groupBy("form").agg(*[F.min_by(c, "name").alias(c) for c in ("words", "short", "numbers")], F.count("*").alias("n")))
     many = parsed.count()
     words = cut(forms.select("n", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("n").alias("often")))

@@ -26,6 +26,13 @@ def test_similar_words_like_brute_force(spark):
     assert got == {(a, b) for a in words for b in words if a < b and slip(a, b)}
 
 
+def test_swaps_far_apart_and_four_letters(spark):
+    """Swapped letters that leave only common q-grams as they were; words of four letters that share one q-gram."""
+    words = ["abcdefgh", "abfdecgh", "anna", "anno", "enna", "ann", "aaaaa", "aaaaaa"] + [f"ab{x}gh" for x in ("klmn", "opqr", "stuv", "wxyz", "lnok")]
+    got = {tuple(r) for r in N.similar_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {("abcdefgh", "abfdecgh"), ("anna", "anno"), ("anna", "enna"), ("aaaaa", "aaaaaa")}
+
+
 def test_soft_similarity_counts_rare_words_more():
     w = {"of": 0.5, "technology": 2.0, "rarename": 9.0, "university": 2.0}
     full = (["university", "of", "technology", "rarename"], [], [])
