@@ -773,18 +773,8 @@ def empty_counts(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.zeros((n, size, size)), np.zeros((n, size + 1)), np.zeros((n, size + 1))
 
 
-def learn(df: DataFrame, text: str = "content", lang: str = "lang") -> Cipher:
-    """Bigrams and ciphers from all texts, in two passes: bigrams and alphabets, then the contexts of strange runs.
-
-    What comes to the driver is bounded by alphabets, not by the corpus: bigrams, and the letters of each piece
-    of a run (at most SHORT symbols, or one letter's bytes). The expectation-maximization runs in the executors,
-    by run; no run is too rare to be learned.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    known = list(labels(df, lang))
-    size = len(alphabet()[1])
-    texts = spread(df.where(F.col(text).isNotNull()).select(lang, text))
+def count_all(texts: DataFrame, known: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of count_texts over all rows of texts (columns: label, text), made in the executors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = empty_counts(len(known))
@@ -804,6 +794,23 @@ def learn(df: DataFrame, text: str = "content", lang: str = "lang") -> Cipher:
     for table, mark in ((files, -1), (lines_, -2)):
         x = got[got["before"] == mark]
         table[x["lang"], x["after"]] = x["n"]
+    return counts, files, lines_
+
+
+def learn(df: DataFrame, text: str = "content", lang: str = "lang") -> Cipher:
+    """Bigrams and ciphers from all texts, in two passes: bigrams and alphabets, then the contexts of strange runs.
+
+    What comes to the driver is bounded by alphabets, not by the corpus: bigrams, and the letters of each piece
+    of a run (at most SHORT symbols, or one letter's bytes). The expectation-maximization runs in the executors,
+    by run; no run is too rare to be learned.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    known = list(labels(df, lang))
+    size = len(alphabet()[1])
+    texts = spread(df.where(F.col(text).isNotNull()).select(lang, text))
+
+    counts, files, lines_ = count_all(texts, known)
     real = np.flatnonzero(distinct(counts, files[:, size]))
     known = [known[i] for i in real]
     bigrams = Bigrams(counts[real], files[real], lines_[real], known)

@@ -17,15 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.garbled import Bigrams, alphabet, count_texts, distinct, empty_counts, label_of, labels, main_label
+from quire.llm.garbled import Bigrams, alphabet, count_all, distinct, label_of, labels, main_label
 from quire.llm.lines import TOP, Lines, chunks, clipped, lines_of
 from quire.runtime import ship, spread
 
 WINDOW = 64
 WIDTHS = {2: 32, 3: 64, 4: 64}
 EMBED = 8
-#: Labelled texts of each label that the network is trained on, at most; taken in the order of a hash of their key.
+#: Labelled texts of each label that the network begins with, at most; taken in the order of a hash of their key.
 TRAIN_TEXTS = 400
+#: Step size of the pass over all texts. A window whose label has at least LEARNED teaches nothing more there; under
+#: TRUSTED, its label is taken to be wrong.
+REFINE_RATE, LEARNED, TRUSTED = 1e-4, 0.98, 0.1
 STEPS, BATCH = 1400, 128
 #: Distinct lines whose scores a Python worker remembers. Memory only.
 MEMO = 100_000
@@ -121,7 +124,6 @@ class Network:
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
         """STEPS steps of Adam on batches drawn evenly over the languages; as many at every corpus size."""
         rng = np.random.default_rng(seed)
-        w = max(WIDTHS)
         by = [np.flatnonzero(y == k) for k in range(len(self.langs))]
         there = [k for k in range(len(by)) if len(by[k])]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -132,42 +134,46 @@ class Network:
                 z = self.scores(x)
                 z -= z.max(1, keepdims=True)
                 z = np.exp(z)
-                trusted = z[np.arange(len(y)), y] >= 0.1 * z.sum(1)
+                trusted = z[np.arange(len(y)), y] >= TRUSTED * z.sum(1)
                 by = [np.flatnonzero((y == k) & trusted) for k in range(len(self.langs))]
                 there = [k for k in range(len(by)) if len(by[k])]
                 soft = 0.002
             pick = np.concatenate([rng.choice(by[k], max(1, BATCH // len(there))) for k in there])
-            xb, yb = x[pick], y[pick]
-            cols, h = self._conv(xb)
-            top = h.argmax(1)
-            a = np.maximum(np.take_along_axis(h, top[:, None, :], 1)[:, 0] + self.p["bias"], 0)
-            drop = (rng.random(a.shape) > 0.2) / np.float32(0.8)
-            a = (a * drop).astype(np.float32)
-            z = a @ self.p["out"] + self.p["prior"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            d = z / z.sum(1, keepdims=True)
-            d -= (1 - soft) * np.eye(len(self.langs), dtype=np.float32)[yb] + soft / len(self.langs)
-            d /= len(yb)
-            g = {"out": a.T @ d, "prior": d.sum(0)}
-            da = (d @ self.p["out"].T) * (a > 0) * drop
-            g["bias"] = da.sum(0)
-            # only the windows at the maxima carry a gradient
-            n, f = da.shape
-            rows = (np.arange(n)[:, None] * h.shape[1] + top).ravel()
-            at = cols[rows].reshape(n, f, -1)
-            g["filter"] = (at.transpose(1, 2, 0) @ da.T[:, :, None])[:, :, 0].T * self.mask
-            back = (da[:, :, None] * self.p["filter"].T[None]).reshape(n, f, w, EMBED)
-            ge = np.zeros_like(self.p["embed"])
-            for j in range(w):
-                seen = xb[np.arange(n)[:, None], top + j].ravel()
-                for k in range(EMBED):
-                    ge[:, k] += np.bincount(seen, back[:, :, j, k].ravel(), 256)
-            g["embed"] = ge
             rate = 0.004 * (1 - step / (STEPS + 1)) + 1e-4
-            for k in self.p:
-                m[k] += 0.1 * (g[k] - m[k])
-                v2[k] += 0.01 * (g[k] ** 2 - v2[k])
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            self._step(x[pick], y[pick], rng, m, v2, step, rate, soft)
+
+    def _step(self, xb: np.ndarray, yb: np.ndarray, rng: np.random.Generator, m: dict, v2: dict, step: int, rate: float, soft: float) -> None:
+        """One step of Adam, the step-th, on a batch of windows and their languages."""
+        w = max(WIDTHS)
+        cols, h = self._conv(xb)
+        top = h.argmax(1)
+        a = np.maximum(np.take_along_axis(h, top[:, None, :], 1)[:, 0] + self.p["bias"], 0)
+        drop = (rng.random(a.shape) > 0.2) / np.float32(0.8)
+        a = (a * drop).astype(np.float32)
+        z = a @ self.p["out"] + self.p["prior"]
+        z = np.exp(z - z.max(1, keepdims=True))
+        d = z / z.sum(1, keepdims=True)
+        d -= (1 - soft) * np.eye(len(self.langs), dtype=np.float32)[yb] + soft / len(self.langs)
+        d /= len(yb)
+        g = {"out": a.T @ d, "prior": d.sum(0)}
+        da = (d @ self.p["out"].T) * (a > 0) * drop
+        g["bias"] = da.sum(0)
+        # only the windows at the maxima carry a gradient
+        n, f = da.shape
+        rows = (np.arange(n)[:, None] * h.shape[1] + top).ravel()
+        at = cols[rows].reshape(n, f, -1)
+        g["filter"] = (at.transpose(1, 2, 0) @ da.T[:, :, None])[:, :, 0].T * self.mask
+        back = (da[:, :, None] * self.p["filter"].T[None]).reshape(n, f, w, EMBED)
+        ge = np.zeros_like(self.p["embed"])
+        for j in range(w):
+            seen = xb[np.arange(n)[:, None], top + j].ravel()
+            for k in range(EMBED):
+                ge[:, k] += np.bincount(seen, back[:, :, j, k].ravel(), 256)
+        g["embed"] = ge
+        for k in self.p:
+            m[k] += 0.1 * (g[k] - m[k])
+            v2[k] += 0.01 * (g[k] ** 2 - v2[k])
+            self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
     def lines(self, texts: list[bytes], memo: dict[bytes, np.ndarray]) -> np.ndarray:
         """Log-probabilities of the languages for each line, known lines from the memory."""
@@ -194,8 +200,9 @@ class Network:
 
 
 def train(df: DataFrame, key: str = "file_id", text: str = "content", lang: str = "lang") -> Network:
-    """A network trained on the lines of at most TRAIN_TEXTS texts of each label. Labels whose texts are but a
-    mixture of others (wrong labels) are no languages; however rare, a language of its own is one."""
+    """A network begun on the lines of at most TRAIN_TEXTS texts of each label and trained on in a pass over all texts.
+    Bigrams and characters are counted over all texts. Labels whose texts are but a mixture of others (wrong labels)
+    are no languages; however rare, a language of its own is one."""
     ship(df.sparkSession)
     many = labels(df, lang)
     # a share of each label's hashes that holds somewhat more than its sample goes ahead; no partition sends its own
@@ -209,8 +216,8 @@ def train(df: DataFrame, key: str = "file_id", text: str = "content", lang: str
     rows = [r for r in rows if r["_rank"] <= TRAIN_TEXTS]
     known = list(many)
     lines, label = lines_of([r[text] for r in rows]), label_of([r["_l"] for r in rows], known)
-    seen = empty_counts(len(known))
-    count_texts(seen, lines, label)
+    all_texts = spread(df.where(F.col(text).isNotNull()).select(lang, text))
+    seen = count_all(all_texts, known)
     real = np.flatnonzero(distinct(seen[0], seen[1][:, -1]))
     made = Network([known[i] for i in real] or ["en"])
     if len(real):
@@ -222,9 +229,58 @@ def train(df: DataFrame, key: str = "file_id", text: str = "content", lang: str
     y = to[label[lines.text[at]]][owner] if len(owner) else np.zeros(0, np.int64)
     if len(x) and (y >= 0).any():
         made.train(x[y >= 0], y[y >= 0])
+        refine(all_texts, made)
     return made
 
 
+def refine(texts: DataFrame, network: Network) -> None:
+    """Train a begun network in one pass over all rows of texts (columns: label, text), in place. Each task goes on from
+    it with steps over the windows that it hasn't learned yet; what the tasks change is averaged, by their windows."""
+    held = texts.sparkSession.sparkContext.broadcast(network)
+    names = sorted(network.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(held.value.langs)
+        net.p = {k: v.copy() for k, v in held.value.p.items()}
+        m, v2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+        rng, n, steps = np.random.default_rng(5), 0, 0
+        wait_x, wait_y = np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
+        for b in batches:
+            for part in chunks(b, 1, STEP):
+                lines = lines_of(part.column(1).to_pylist())
+                folded, at = line_bytes(lines)
+                label = label_of(part.column(0).to_pylist(), net.langs)[lines.text[at]].tolist()
+                at_of: dict[tuple[bytes, int], int] = {}
+                which = np.array([at_of.setdefault(k, len(at_of)) for k in zip(folded, label) if k[1] >= 0], np.int64)
+                if not len(which):
+                    continue
+                x, owner = windows([t for t, _ in at_of])
+                y = np.array([g for _, g in at_of])[owner]
+                many = np.bincount(which, minlength=len(at_of))[owner]  # repeated lines are scored once
+                n += int(many.sum())
+                z = net.scores(x)
+                z = np.exp(z - z.max(1, keepdims=True))
+                p = z[np.arange(len(y)), y] / z.sum(1)
+                more = np.repeat(np.flatnonzero((p >= TRUSTED) & (p < LEARNED)), many[(p >= TRUSTED) & (p < LEARNED)])
+                wait_x, wait_y = np.concatenate([wait_x, x[more]]), np.concatenate([wait_y, y[more]])
+                while len(wait_y) >= BATCH:
+                    steps += 1
+                    net._step(wait_x[:BATCH], wait_y[:BATCH], rng, m, v2, steps, REFINE_RATE, 0.002)
+                    wait_x, wait_y = wait_x[BATCH:], wait_y[BATCH:]
+        if len(wait_y):
+            net._step(wait_x, wait_y, rng, m, v2, steps + 1, REFINE_RATE * len(wait_y) / BATCH, 0.002)
+        change = np.concatenate([(net.p[k] - held.value.p[k]).ravel() for k in names]).astype(np.float64) * n
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(change)), pa.int32()), pa.array(change), pa.array(np.full(len(change), n), pa.int64())], names=["i", "change", "n"])
+
+    got = texts.mapInArrow(run, "i int, change double, n bigint").groupBy("i").agg((F.sum("change") / F.sum("n")).alias("change")).toArrow()
+    change = np.zeros(sum(network.p[k].size for k in names), np.float32)
+    change[got.column("i").to_numpy()] = got.column("change").to_numpy()
+    for k in names:
+        network.p[k] += change[: network.p[k].size].reshape(network.p[k].shape)
+        change = change[network.p[k].size :]
+
+
 _MEMO: dict[int, dict[bytes, np.ndarray]] = {}
 
 

@@ -61,6 +61,21 @@ def test_a_full_memory_forgets_no_line_in_hand(monkeypatch):
     assert np.allclose(got, net.lines([b"one", b"three", b"four", b"one"], {}), atol=1e-5)
 
 
+def test_languages_and_characters_come_from_all_texts(spark, monkeypatch):
+    """However few texts the network begins with."""
+    monkeypatch.setattr(L, "TRAIN_TEXTS", 3)
+    monkeypatch.setattr(L, "STEPS", 40)
+    begun = []
+    monkeypatch.setattr(L.Network, "train", lambda self, x, y, train=L.Network.train: (train(self, x, y), begun.append({k: v.copy() for k, v in self.p.items()})))
+    rows = corpus()
+    net = L.train(spark.createDataFrame(rows, "file_id bigint, lang string, content string"))
+    seen = G.empty_counts(4)
+    G.count_texts(seen, lines_of([t for _, _, t in rows]), G.label_of([x for _, x, _ in rows], sorted(SENTENCES)))
+    assert net.langs == sorted(SENTENCES)
+    assert (net.native == (G.Bigrams(*seen, net.langs, L.USED).state == 0)).all()
+    assert any((net.p[k] != begun[0][k]).any() for k in net.p)
+
+
 def garble(text, how):
     if how == "lost":
         return text.encode("ascii", "replace").decode()
