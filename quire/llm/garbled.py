@@ -150,7 +150,7 @@ def add_bigrams(into: np.ndarray, lines: Lines, label: np.ndarray, read: tuple)
     ok = (lang >= 0) & ~bad[line]
     length = np.bincount(line, minlength=len(lines.start))
     weight = np.minimum(1, LONG_LINE / np.maximum(length, 1))[line]  # one endless line must not set the measure
-    into += np.bincount((lang[ok] * size + before[ok]) * size + cur[ok], weight[ok], into.size).reshape(into.shape)
+    np.add.at(into.reshape(-1), (lang[ok] * size + before[ok]) * size + cur[ok], weight[ok])  # in place: the table is large
 
 
 #: Share of a language's texts from which a symbol surely belongs to its alphabet; what is rarer has to be learned.
@@ -759,13 +759,19 @@ def count_texts(into: tuple[np.ndarray, np.ndarray, np.ndarray], lines: Lines, l
     read = stream(lines)
     add_bigrams(counts, lines, label, read)
     cur, _, _, line = read
-    size = counts.shape[1]
     for table, unit, lang in ((files, lines.text[line], label), (rows, line, label[lines.text])):
-        units, k = np.divmod(np.unique(unit * size + cur), size)
-        ok = lang[units] >= 0
-        table[:, :size] += np.bincount(lang[units[ok]] * size + k[ok], minlength=len(table) * size).reshape(-1, size)
-        seen = np.unique(unit)
-        table[:, size] += np.bincount(lang[seen][lang[seen] >= 0], minlength=len(table))
+        add_holders(table, unit, cur, lang)
+
+
+def add_holders(into: np.ndarray, unit: np.ndarray, cur: np.ndarray, lang: np.ndarray, step: int = 1024) -> None:
+    """Add to the table (language, symbol; last: any symbol) the units, in ascending order, that hold each symbol. So
+    many units at a time mark what they hold in a table of their own; nothing is sorted."""
+    for a in range(0, len(lang), step):
+        i, j = np.searchsorted(unit, (a, a + step))
+        at, of = unit[i:j] - a, lang[a : a + step]
+        held = np.zeros((len(of), into.shape[1]), np.float32)
+        held[at, cur[i:j]] = held[at, -1] = 1
+        into += (np.arange(len(into))[:, None] == of).astype(np.float32) @ held
 
 
 def empty_counts(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -76,6 +77,62 @@ def test_languages_and_characters_come_from_all_texts(spark, monkeypatch):
     assert any((net.p[k] != begun[0][k]).any() for k in net.p)
 
 
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_passes_over_all_texts_make_no_copies():
+    """Copies of each window's neighbourhoods, and of the whole table of bigrams, were most of the passes' time."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(32, 127, (L.BATCH, L.WINDOW)).astype(np.uint8), rng.integers(0, 2, L.BATCH)
+    x[::3, 20:] = 32
+    net = L.Network(["de", "en"])
+    p = {k: v.copy() for k, v in net.p.items()}
+    m, v2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    assert peak(lambda: net._step(x, y, np.random.default_rng(5), m, v2, 1, 1e-3, 0.01)) < 4e6
+    # the same by the definition
+    w = max(L.WIDTHS)
+    cols = np.stack([p["embed"][x[:, t : t + w]].reshape(len(x), -1) for t in range(L.WINDOW - w + 1)], 1)
+    h = cols @ p["filter"]
+    fresh = L.Network(["de", "en"])
+    a = np.maximum(h.max(1) + p["bias"], 0)
+    assert np.allclose(fresh.scores(x), a @ p["out"] + p["prior"], atol=1e-4)
+    drop = (np.random.default_rng(5).random(a.shape) > 0.2) / 0.8
+    z = np.exp((a * drop) @ p["out"] + p["prior"])
+    d = (z / z.sum(1, keepdims=True) - 0.99 * np.eye(2)[y] - 0.005) / len(y)
+    da = (d @ p["out"].T) * (a > 0) * drop
+    top = h.argmax(1)
+    g_filter, g_embed = np.zeros(p["filter"].shape), np.zeros(p["embed"].shape)
+    for i in range(len(x)):
+        for f in range(a.shape[1]):
+            g_filter[:, f] += da[i, f] * cols[i, top[i, f]]
+            for j in range(w):
+                g_embed[x[i, top[i, f] + j]] += da[i, f] * p["filter"][j * L.EMBED : (j + 1) * L.EMBED, f]
+    assert np.allclose(m["filter"], 0.1 * g_filter * net.mask, atol=1e-6) and np.allclose(m["embed"], 0.1 * g_embed, atol=1e-6)
+
+    langs = [f"{i:02d}" for i in range(12)]
+    rows = [(rng.choice([*langs, "none"]), t) for _, _, t in corpus(1500)]
+    lines, label, seen = lines_of([t for _, t in rows]), G.label_of([x for x, _ in rows], langs), G.empty_counts(12)
+    assert peak(lambda: G.count_texts(seen, lines, label)) < seen[0].nbytes
+    cur, before, _, line = G.stream(lines)
+    lang = label[lines.text[line]]
+    for table, unit in ((seen[1], lines.text[line]), (seen[2], line)):
+        held = {(u, g, k) for u, g, c in zip(unit.tolist(), lang.tolist(), cur.tolist()) for k in (c, -1) if g >= 0}
+        want = np.zeros(table.shape)
+        for _, g, k in held:
+            want[g, k] += 1
+        assert (table == want).all()
+    want = np.zeros(seen[0].shape)
+    for g, b, c in zip(lang.tolist(), before.tolist(), cur.tolist()):
+        want[g, b, c] += g >= 0
+    assert (seen[0] == want).all()
+
+
 def garble(text, how):
     if how == "lost":
         return text.encode("ascii", "replace").decode()
