@@ -11,6 +11,7 @@ what is written; what the cipher is sure of is put back with translate().
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from encodings.aliases import aliases
@@ -279,6 +280,8 @@ WIDE_SLACK = 0.35
 LEAST_SHARE = 1e-3
 #: Pieces whose letters, and runs whose readings, a process remembers. Memory only.
 KNOWN = 200_000
+#: Rows of bigrams that a process holds as lists. Memory only.
+ROWS = 2_000
 #: Share of a cipher's lines that may hold plainly what it stands for, and the log-odds at which that rules it out.
 PLAIN, RULED_OUT = 0.03, -3.0
 #: By how much another language may fit a line better (mean log-probability) before it is taken for a foreign line.
@@ -354,8 +357,10 @@ def add_contexts(into: dict, lines: Lines, label: np.ndarray, bigrams: Bigrams,
     cur, place, line, lang = cur[keep], place[keep], line[keep], lang[keep]
     if not len(cur):
         return
-    space, lost = signs.index(" "), signs.index("<lost>")
+    space = signs.index(" ")
     a, b = strange_runs(cur, line, lang, bigrams)
+    if not len(a):
+        return
     inside = np.zeros(len(cur) + 1, np.int32)
     inside[a] += 1
     inside[b + 1] -= 1
@@ -363,11 +368,11 @@ def add_contexts(into: dict, lines: Lines, label: np.ndarray, bigrams: Bigrams,
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
     ends = np.append(first[1:], len(cur))
     seen, last = set(), -1
-    for i, j, w in zip(a.tolist(), b.tolist(), (np.searchsorted(first, a, side="right") - 1).tolist()):
-        n = int(cur[j + 1]) if j + 1 < len(cur) and line[j + 1] == line[j] else space
-        p = int(cur[i - 1]) if i and line[i - 1] == line[i] else space
-        g, text = int(lang[i]), run_text(lines, place, cur, i, j)
-        parts = (text,) if j - i < SHORT and not bigrams.wide[g] or lost in cur[i : j + 1] else pieces(text)
+    after = np.where((b + 1 < len(cur)) & (np.append(line, -1)[b + 1] == line[b]), np.append(cur, 0)[b + 1], space)
+    ahead = np.where((a > 0) & (line[a - 1] == line[a]), cur[a - 1], space)
+    texts, _, _, gone = written(lines, place, cur, a, b)
+    for text, lost, short, g, p, n, w in zip(texts, gone, (b - a < SHORT).tolist(), lang[a].tolist(), ahead.tolist(), after.tolist(), (np.searchsorted(first, a, side="right") - 1).tolist()):
+        parts = (text,) if short and not bigrams.wide[g] or lost else pieces(text)
         if w != last:
             seen, last = set(), w
             held = set(cur[first[w] : ends[w]][plain[first[w] : ends[w]]].tolist())
@@ -381,17 +386,17 @@ def add_contexts(into: dict, lines: Lines, label: np.ndarray, bigrams: Bigrams,
                     into[g, part, -1, x] = into.get((g, part, -1, x), 0) + 1
 
 
-def run_end(lines: Lines, place: np.ndarray, j: int) -> int:
-    """Where a run ends as written: a soft hyphen right after it belongs to it (as a byte that was read so)."""
-    e = int(place[j]) + 1
-    return e + 1 if e < len(lines.codes) and lines.codes[e] == 0xAD else e
-
-
-def run_text(lines: Lines, place: np.ndarray, cur: np.ndarray, i: int, j: int) -> str:
-    """A run as written, with characters without width that stand between its symbols; a lost one as U+FFFD."""
-    if alphabet()[1].index("<lost>") in cur[i : j + 1]:
-        return "\ufffd" * min(j - i + 1, LONGEST)
-    return lines.codes[place[i] : run_end(lines, place, j)].tobytes().decode("utf-32-le", "replace")
+def written(lines: Lines, place: np.ndarray, cur: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[str], list[int], list[int], list[bool]]:
+    """Runs as written, with characters without width that stand between their symbols, where each begins and ends in
+    lines.codes, and whether a symbol in it is lost; such a run is written as U+FFFD. A soft hyphen right after a run
+    belongs to it (as a byte that was read so)."""
+    lost = np.concatenate([[0], np.cumsum(cur == alphabet()[1].index("<lost>"))])
+    gone = (lost[b + 1] > lost[a]).tolist()
+    end = place[b] + 1
+    end += np.append(lines.codes, 0)[end] == 0xAD
+    begin, ends = place[a].tolist(), end.tolist()
+    whole = lines.codes.tobytes().decode("utf-32-le", "replace")
+    return ["\ufffd" * min(n, LONGEST) if g else whole[i:j] for i, j, n, g in zip(begin, ends, (b - a + 1).tolist(), gone)], begin, ends, gone
 
 
 def fit_itself(run: str, log: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -448,9 +453,15 @@ class Cipher:
         self.longest = max((len(run) for _, run in table), default=0)
         self._known: dict[tuple[int, str], list[tuple[int, float]] | None] = {}
         self._read: dict[tuple, tuple[float, float, list[int], float]] = {}
+        self._parts: dict[tuple[int, str], tuple[list[tuple[int, int, list[tuple[int, float]]]], list[int], float, float]] = {}
+        self._symbols = 0
+        self._rows: dict[tuple[int, int], list[float]] = {}
+        self._runs: dict[int, set[str]] = {}
+        for g, run in table:
+            self._runs.setdefault(g, set()).add(run)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}, "_read": {}}
+        return self.__dict__ | {"_known": {}, "_read": {}, "_parts": {}, "_symbols": 0, "_rows": {}}
 
     def letters(self, lang: int, run: str) -> list[tuple[int, float]] | None:
         """The letters that a piece may stand for in a language, with their log-shares, and itself where it is one
@@ -493,39 +504,68 @@ class Cipher:
             self._read[key] = self._best(*key)
         return self._read[key]
 
+    def parts(self, lang: int, run: str) -> tuple[list[tuple[int, int, list[tuple[int, float]]]], list[int], float, float]:
+        """What holds for a run between any neighbours: from where to where there is a known piece, and its letters;
+        its symbols as written, their log-probability among themselves (impossible: see fit_itself) and itself()."""
+        key = (lang, run)
+        if key not in self._parts:
+            if self._symbols > KNOWN:  # by their length, as one may be long
+                self._parts.clear()
+                self._symbols = 0
+            self._symbols += len(run)
+            reach, log, held = max(self.longest, 1), self.bigrams.log[lang], self._runs.get(lang, set())
+            spans = [(i, j, run[i:j]) for j in range(1, len(run) + 1) for i in range(max(0, j - reach), j)]
+            cuts = [(i, j, to) for i, j, x in spans if (j - i == 1 or x in held) and (to := self.letters(lang, x)) is not None]
+            own = [k for k in map(table_of, run) if k]
+            if any(_never()[own]):
+                own = []
+            self._parts[key] = cuts, own, sum(float(log[x, y]) for x, y in zip(own, own[1:])), self.itself(lang, run)
+        return self._parts[key]
+
+    def _row(self, lang: int, before: int) -> list[float]:
+        """The log-probabilities of all symbols after one."""
+        key = (lang, before)
+        if key not in self._rows:
+            if len(self._rows) > ROWS:
+                self._rows.clear()
+            self._rows[key] = self.bigrams.log[lang, before].tolist()
+        return self._rows[key]
+
     def _best(self, lang: int, run: str, before: int, after: int, plain: frozenset, sure: bool) -> tuple[float, float, list[int], float]:
         log = self.bigrams.log[lang]
-        stays = float(fit_itself(run, log, np.array([before]), np.array([after]))[0]) + self.itself(lang, run)
+        cuts, own, inner, itself = self.parts(lang, run)
+        stays = (float(log[before, own[0]] + log[own[-1], after] + inner) if own else -99.0) + itself
         step = log.item
         # for each place: last symbol read -> best and total log-probability, and the place and symbol before it
         at: list[dict[int, tuple[float, float, int, int]]] = [{before: (0.0, 0.0, -1, 0)}] + [{} for _ in run]
-        for j in range(1, len(run) + 1):
+        ways: list[list[tuple[int, float, float, list[float]]] | None] = [None] * len(at)
+        for i, j, to in cuts:
+            if not at[i]:
+                continue
             here = at[j]
-            for i in range(max(0, j - max(self.longest, 1)), j):
-                if not at[i] or (to := self.letters(lang, run[i:j])) is None:
+            if (froms := ways[i]) is None:  # nothing more comes to a place once something goes on from it
+                froms = ways[i] = [(s0, b0, t0, self._row(lang, s0)) for s0, (b0, t0, *_) in at[i].items()]
+            for s, gain in to:
+                if not s:  # a character without width: nothing changes
+                    for s0, b0, t0, _ in froms:
+                        if s0 not in here or b0 > here[s0][0]:
+                            here[s0] = (b0, t0, i, -1)
                     continue
-                for s, gain in to:
-                    if not s:  # a character without width: nothing changes
-                        for s0, (b0, t0, *_) in at[i].items():
-                            if s0 not in here or b0 > here[s0][0]:
-                                here[s0] = (b0, t0, i, -1)
-                        continue
-                    if s in plain and gain < 0:
-                        gain -= TWICE
-                    best, total, k = -np.inf, [], 0
-                    for s0, (b0, t0, *_) in at[i].items():
-                        x = step(s0, s)
-                        if b0 + x > best:
-                            best, k = b0 + x, s0
-                        if sure:
-                            total.append(t0 + x)
-                    t = _log_sum(total) + gain if sure else 0.0
-                    if s in here:
-                        b1, t1, i1, k1 = here[s]
-                        t = _log_sum([t, t1]) if sure else 0.0
-                        here[s] = (b1, t, i1, k1) if b1 >= best + gain else (best + gain, t, i, k)
-                    else:
-                        here[s] = (best + gain, t, i, k)
+                if s in plain and gain < 0:
+                    gain -= TWICE
+                best, k = -math.inf, 0
+                for s0, b0, _, row in froms:
+                    x = b0 + row[s]
+                    if x > best:
+                        best, k = x, s0
+                best += gain
+                t = _log_sum([t0 + row[s] for _, _, t0, row in froms]) + gain if sure else 0.0
+                if s in here:
+                    b1, t1, i1, k1 = here[s]
+                    t = _log_sum([t, t1]) if sure else 0.0
+                    here[s] = (b1, t, i1, k1) if b1 >= best else (best, t, i, k)
+                else:
+                    here[s] = (best, t, i, k)
         if not at[-1]:
             return -np.inf, stays, [], 0.0
         end, s = max((b + step(s, after), s) for s, (b, *_) in at[-1].items())
@@ -566,6 +606,15 @@ def _bytes_of() -> list[dict[int, int]]:
     return [{int(c): x for x, c in enumerate(p) if x > 127} for p in pages()]
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(10_000)
+def _keys(beyond: tuple[int, ...]) -> set[tuple[int, ...]]:
+    """The bytes (-1: none) that stand for these characters, page by page."""
+    return {tuple(b.get(c, -1) for c in beyond) for b in _bytes_of()}
+
+
 def swaps(text: str, native: np.ndarray, single: bool) -> list[tuple[str, bool]]:
     """What a line can have read before it was read in another code page, and whether nothing was lost: UTF-8 first;
     if none fits, texts of the single-byte pages whose characters beyond ASCII are all proper (native: language,
@@ -574,12 +623,14 @@ def swaps(text: str, native: np.ndarray, single: bool) -> list[tuple[str, bool]]
     if not beyond or beyond[-1] >= TOP:
         return []
     table, symbols = alphabet()[0], np.array(beyond)
-    made, keys = [], {tuple(b.get(c, -1) for c in beyond) for b in _bytes_of()}
+    made, keys = [], _keys(tuple(beyond))
+    begun = [ord(c) for c in _BEYOND.search(text).group()]
     for key in keys:
         if -1 in key:
             continue
         at = dict(zip(beyond, key))
         try:
+            bytes(at[c] for c in begun).decode("utf-8")  # stretches beyond ASCII are valid each for itself
             made.append(bytes(at.get(ord(c), ord(c)) for c in text).decode("utf-8"))
         except UnicodeDecodeError:
             continue
@@ -674,14 +725,14 @@ def damaged(lines: Lines, label: np.ndarray, cipher: Cipher, restore: bool = Fal
     odd = np.stack([np.add.reduceat((x[cur] > 0).astype(np.int32), first) for x in bigrams.state], 1)
     best = (tied - 10 * odd / size[:, None]).argmax(1)  # and so does a language to which the symbols are proper
     low = sums[np.arange(len(best)), best] / size < bigrams.mean[best] - np.where(bigrams.wide[best], WIDE_SLACK, SLACK)
-    space, lost = signs.index(" "), signs.index("<lost>")
+    space = signs.index(" ")
     hit = np.zeros(len(which), bool)
     texts: list[str | None] = [None] * len(which)
     todo = (odd[np.arange(len(best)), best] > 0) | low
     tried: dict[int, list[tuple]] = {k: [] for k in np.flatnonzero(todo).tolist()}
     for ways in (best, np.where(own != best, own, -1)):
         keep = np.repeat(todo & (ways >= 0), size)
-        _read_lines(tried, cur[keep], before[keep], place[keep], line[keep], np.repeat(ways, size)[keep], np.repeat(np.arange(len(which)), size)[keep], lines, cipher, sums, own, odd, best, restore, space, lost)
+        _read_lines(tried, cur[keep], before[keep], place[keep], line[keep], np.repeat(ways, size)[keep], np.repeat(np.arange(len(which)), size)[keep], lines, cipher, sums, own, odd, best, restore, space)
     whole: list[int] = []
     for k, tries in tried.items():
         _, gain, g, found = max(tries, key=lambda x: x[:3])
@@ -709,7 +760,7 @@ def damaged(lines: Lines, label: np.ndarray, cipher: Cipher, restore: bool = Fal
     return which[hits], best[hits], [texts[x] for x in hits.tolist()] if restore else [None] * len(hits)
 
 
-def _read_lines(tried, cur, before, place, line, lang, number, lines, cipher, sums, own, odd, best, restore, space, lost) -> None:  # noqa: ANN001
+def _read_lines(tried, cur, before, place, line, lang, number, lines, cipher, sums, own, odd, best, restore, space) -> None:  # noqa: ANN001
     """Read the strange runs of lines, each in the language given for it; add to each line's tries the log-probability
     of the reading, its gain over what is written, the language, and the runs with what they are read as."""
     bigrams = cipher.bigrams
@@ -727,17 +778,20 @@ def _read_lines(tried, cur, before, place, line, lang, number, lines, cipher, su
     of = np.searchsorted(first, a, side="right") - 1
     begin = np.searchsorted(of, np.arange(len(first) + 1))
     cuts = zip(first.tolist(), ends.tolist(), begin[:-1].tolist(), begin[1:].tolist(), number[first].tolist(), lang[first].tolist())
-    a, b = a.tolist(), b.tolist()
+    texts, begins, stops, gone = written(lines, place, cur, a, b)
+    gives = (ahead[np.minimum(b + 2, ends[of])] - ahead[a]).tolist()
+    after = np.where(b + 1 < ends[of], np.append(cur, 0)[b + 1], space).tolist()
+    runs_of = list(zip(texts, begins, stops, gone, gives, before[a].tolist(), after))
     for start, stop, r0, r1, k, g in cuts:
         total, gain, found = float(sums[k, g]), 0.0, []
         held = frozenset(cur[start:stop][plain[start:stop]].tolist()) if r1 > r0 else frozenset()
-        for i, j in zip(a[r0:r1], b[r0:r1]):
-            n = int(cur[j + 1]) if j + 1 < stop else space
-            reading, stays, letters, sure = cipher.read(g, run_text(lines, place, cur, i, j), int(before[i]), n, held, restore)
-            total -= float(ahead[min(j + 2, stop)] - ahead[i])
+        for text, i, j, lost, given, p, n in runs_of[r0:r1]:
+            reading, stays, letters, sure = cipher.read(g, text, p, n, held, restore)
+            total -= given
             if reading > stays:
                 gain += min(reading - stays, 20.0)
-                found.append((place[i], run_end(lines, place, j) - 1, "".join(alphabet()[1][x] for x in letters) if sure >= SURE and lost not in cur[i : j + 1] else None))
+                if restore:
+                    found.append((i, j - 1, "".join(alphabet()[1][x] for x in letters) if sure >= SURE and not lost else None))
             total += max(reading, stays)
         tried[k].append((total + OWN_LABEL * (g == own[k] and odd[k, best[k]] > 0), gain, g, found))
 

@@ -182,6 +182,54 @@ def test_the_cipher_decides(spark):
         G.reread = held
 
 
+def test_what_a_run_can_be_is_found_once(monkeypatch):
+    """However many neighbours it has; the readings are the best of all."""
+    rows = corpus(120, seed=2)
+    langs, seen = sorted(SENTENCES), G.empty_counts(4)
+    G.count_texts(seen, lines_of([t for _, _, t in rows]), G.label_of([x for _, x, _ in rows], langs))
+    bigrams, g = G.Bigrams(*seen, langs), langs.index("sk")
+    rng, letters = np.random.default_rng(2), bigrams.targets[langs.index("sk")]
+    runs = ["Ã¡", "Ã", "¡", "Ã©", "©"]
+    cipher = G.Cipher(bigrams, {(g, r): (0.2, rng.dirichlet(np.ones(len(letters))).astype(np.float32)) for r in runs}, {(g, r): 3.0 for r in runs})
+    asked = []
+    monkeypatch.setattr(G, "table_of", lambda c, held=G.table_of: (asked.append(c), held(c))[1])
+    for run in ("Ã¡Ã©", "Ã©", "¡"):
+        cuts = {(): 0}
+        for _ in run:
+            cuts |= {(*x, run[sum(map(len, x)) : sum(map(len, x)) + n]): 0 for x in cuts for n in (1, 2) if sum(map(len, x)) + n <= len(run)}
+        whole = [x for x in cuts if "".join(x) == run]
+        asked.clear()
+        got = {}
+        for p in map(alphabet_place, "aeknr"):
+            for n in map(alphabet_place, "mstv "):
+                got[p, n] = cipher.read(g, run, p, n)
+        assert len(asked) <= 60  # not for each pair of neighbours
+        log = bigrams.log[g]
+        for (p, n), (best, stays, read, sure) in got.items():
+            paths = []
+            for x in whole:
+                ways = [(0.0, (p,))]
+                for part in x:
+                    ways = [(v + log[k[-1], c] + gain, (*k, c)) for v, k in ways for c, gain in cipher.letters(g, part) or []]
+                paths += [(v + log[k[-1], n], k[1:]) for v, k in ways]
+            v, k = max(paths)
+            assert abs(v - best) < 1e-4 and list(k) == read and abs(sure - np.exp(v - np.logaddexp.reduce([x for x, _ in paths]))) < 1e-3
+            assert abs(stays - G.fit_itself(run, log, np.array([p]), np.array([n]))[0] - cipher.itself(g, run)) < 1e-4
+
+
+def test_runs_as_written():
+    lines = lines_of(["aÃ\u200b¡b \u00e2\u00adx ?b"])
+    cur, _, place, line = G.stream(lines)
+    at = lambda c: np.flatnonzero(cur == alphabet_place(c))
+    lost = np.flatnonzero(cur == G.alphabet()[1].index("<lost>"))
+    a, b = np.concatenate([at("Ã"), at("â"), lost]), np.concatenate([at("¡"), at("â"), lost])
+    assert G.written(lines, place, cur, a, b) == (["Ã\u200b¡", "â\u00ad", "\ufffd"], [1, 6, 10], [4, 8, 11], [False, False, True])
+
+
+def alphabet_place(c):
+    return int(G.alphabet()[0][ord(c)])
+
+
 def test_runs_in_pieces():
     assert G.pieces("скоро".encode().decode("cp1252", "ignore")[:0]) == ()
     assert G.pieces("вес".encode().decode("latin-1")) == tuple(c.encode().decode("latin-1") for c in "вес")
